@@ -22,7 +22,7 @@ QUERIES = {"op1_substring_dedup": op1_substring_dedup}
 SQL = {
     "op1_substring_dedup": r"""
         WITH split AS (
-            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+            SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
         windows AS (
             SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS words
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM split WHERE len(w) >= 20)),
