@@ -22,7 +22,7 @@ def item_sketches(items: DataFrame, width: int, threshold: float) -> DataFrame:
     hashes = items.select("item_id", "words").select("item_id", F.array_distinct(shingle_hashes("words", width)).alias("hashes"))
     k = F.floor(F.size("hashes") * F.lit(1 - threshold) + F.lit(1e-9)).cast("int") + 1
     sketch = F.slice(F.array_sort("hashes"), F.lit(1), k)
-    return hashes.where(F.size("hashes") > 0).select("item_id", F.size("hashes").alias("n"), F.explode(sketch).alias("hash"))
+    return hashes.select("item_id", F.size("hashes").alias("n"), F.explode_outer(sketch).alias("hash")).where("hash IS NOT NULL")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +40,8 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     if sketches.count() <= BROADCAST_ROWS:
         sketches = F.broadcast(sketches)
     hashes = split.select("doc_id", shingle_hashes("words", width).alias("hashes"))
-    each = hashes.select("doc_id", F.size("hashes").alias("m"), F.explode("hashes").alias("hash"))
+    # explode_outer, here and above: explode's own filter on size would be pushed below and compute the words for each shingle
+    each = hashes.select("doc_id", F.size("hashes").alias("m"), F.explode_outer("hashes").alias("hash"))
     pairs = each.join(sketches, "hash").where(F.col("m") >= F.col("n") * F.lit(threshold) - F.lit(1e-9)).select("doc_id", "item_id").distinct()
 
     own = items.select("item_id", F.array_distinct(shingles("words", width)).alias("item"))

@@ -26,10 +26,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"), F.struct(F.lit(0).alias(""), *map(column, rest)).alias("row"))
-    lines = rows.where(F.col("id").isNotNull()).select("id", F.split("text", "\n").alias("lines")).where(F.size("lines") >= width)
-    starts = F.sequence(F.lit(0), F.size("lines") - width)
+    lines = rows.where(F.col("id").isNotNull()).select("id", F.split("text", "\n").alias("lines"))
+    starts = F.when(F.size("lines") >= width, F.sequence(F.lit(0), F.size("lines") - width))
     windows = F.transform(starts, lambda i: F.concat_ws("\n", *(F.get("lines", i + k) for k in range(width))))
-    windows = lines.select("id", F.posexplode(windows).alias("line", "window")).where(F.col("window").rlike(r"\S"))
+    # posexplode's own filter on size would be pushed below and split the text for each line; posexplode_outer has none
+    windows = lines.select("id", F.posexplode_outer(windows).alias("line", "window")).where(F.col("window").rlike(r"\S"))
     windows = windows.select(F.unhex(F.md5("window")).alias("key"), "id", "line")
     repeated = windows.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(cut(repeated), "key").where(F.struct("id", "line") > F.col("first"))
