@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.decontamination import contaminated
 from spanlake.llm.line_dedup import line_dedup
+from spanlake.llm.mixing import Mixture
 from spanlake.llm.substring_dedup import substring_dedup
 
 
@@ -19,6 +20,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mixture(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +32,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_decontamination, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_decontamination, op9_line_dedup)}
 
 SQL = {
     "op1_substring_dedup": r"""
