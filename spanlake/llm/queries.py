@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm.decontamination import contaminated
+from spanlake.llm.jaccard_join import jaccard_components
 from spanlake.llm.line_dedup import line_dedup
 from spanlake.llm.mixing import Mixture
 from spanlake.llm.substring_dedup import substring_dedup
@@ -32,7 +33,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_decontamination, op9_line_dedup)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_decontamination, op9_line_dedup, op10_jaccard_join)}
 
 SQL = {
     "op1_substring_dedup": r"""
