@@ -20,7 +20,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
