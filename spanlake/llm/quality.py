@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spanlake.llm.arrays import IS_SPACE, byte_texts, mix, pieces, words_of
 from spanlake.llm.frames import column
@@ -189,9 +190,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for part in pieces(batches, "text", PIECE_BYTES):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(machine.scores(part))], names=["text", "row", "score"])
 
-    schema = rows.schema.add("score", "double")
-    schema = type(schema)([schema["text"], schema["row"], schema["score"]])
-    out = rows.mapInArrow(scored, schema)
+    out = rows.mapInArrow(scored, StructType([rows.schema["text"], rows.schema["row"], StructField("score", DoubleType())]))
     columns = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rest]
     predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
     held = F.coalesce(F.crc32(F.col("row").getField(id_col).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
