@@ -13,6 +13,7 @@ from spanlake.llm.mixing import Mixture
 from spanlake.llm.quality import score, train
 from spanlake.llm.secrets import secret_spans
 from spanlake.llm.substring_dedup import substring_dedup
+from spanlake.llm.suffix_dedup import suffix_dedup
 from spanlake.llm.url_filter import judge_urls
 
 
@@ -44,6 +45,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +74,7 @@ QUERIES = {
         op3_mixing,
         op4_secret_scan,
         op5_decontamination,
+        op6_suffix_dedup,
         op7_embedding_dedup,
         op8_url_filter,
         op9_line_dedup,
