@@ -3,9 +3,10 @@
 Sets fall into size bands. For the larger set of a pair in a band, the threshold bounds the number H of shingles that only
 one of the two holds. The universe of shingles is hashed into segments:
 
-* exact: H + 1 + SLACK segments, of which at least SLACK + 1 are the same in both sets. Each set is indexed by the contents
-  of its segments. Segments of WEAK shingles or fewer, which chance or a shared passage makes equal, get no entry unless a
-  set has more than SLACK of them; two similar sets still share one that both index.
+* exact: H + 1 + slack segments, of which at least slack + 1 are the same in both sets. Each set is indexed by the contents
+  of its segments. Segments of few shingles, which chance or a shared passage makes equal, get no entry: those of WEAK or
+  fewer, or of one less, and so on, as far as a set has at most slack of them. Two similar sets still share one that both
+  index, as the larger of their two limits leaves out at most slack of the segments that are the same.
 * one deletion: (H + 1) / 2 segments, of which at least one differs by one shingle at most. Each is indexed whole and without
   each of its shingles.
 
@@ -30,11 +31,13 @@ from spanlake.llm.frames import column, cut
 
 PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-SLACK, WEAK = 5, 2
+WEAK = 2
 #: Index entries that one expected chance match weighs.
 MATCH_COST = 200
 #: Members and shingles of one side of a tile.
 TILE_SETS, TILE_SHINGLES = 512, 2_000_000
+#: Sets that share an entry up to which they are paired; more are laid out in tiles.
+PAIR_SETS = 48
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,20 +51,25 @@ class Bands:
             tops.append(max(tops[-1] + 1, tops[-1] * 100 // percent))
         self.tops = np.array(tops[1:], dtype=np.int64)
         self.differ = (100 - percent) * 2 * self.tops // (100 + percent)
-        n, h = self.tops * 0.9, self.differ
-        exact = h + 1 + SLACK
+        n, h = self.tops * 0.85, self.differ
+        self.slack = np.full(len(n), 2)
+        for _ in range(6):  # the segments of one shingle or none that are to be expected, and two deviations more
+            exact = h + 1 + self.slack
+            few = exact * np.exp(-n / exact) * (1 + n / exact)
+            self.slack = np.ceil(few + 2 * np.sqrt(few) + 1).astype(np.int64)
+        exact = h + 1 + self.slack
         halves = (h + 2) // 2
         t = n / exact * 0.8
-        cost_exact = exact + MATCH_COST * exact * np.exp(-t) * np.where(t < 1, 1, 0.5)
+        cost_exact = exact + MATCH_COST * exact * np.exp(-t)
         t = n / halves
         cost_halves = halves * (1 + t) + MATCH_COST * halves * (1 + 0.8 * t) * np.exp(-0.8 * t)
         self.deletes = cost_halves < cost_exact
         self.segments = np.where(self.deletes, halves, exact)
 
 
-def _sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row's text, one after the other in order, and where each row's begin."""
-    words = words_of([(t or b"").translate(_LOWER) for t in byte_texts(part.column(part.schema.get_field_index("text")))])
+def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, one after the other in order, and where each text's begin."""
+    words = words_of([(t or b"").translate(_LOWER) for t in texts])
     hashes = words.hashes()
     grams = window_hashes(hashes, width)
     out, sizes = [], []
@@ -98,7 +106,7 @@ def _key_array(keys: np.ndarray) -> pa.Array:
 def _describe(width: int):
     def described(batches):
         for part in pieces(batches, "text", PIECE_BYTES):
-            tokens, first = _sets(part, width)
+            tokens, first = _sets(byte_texts(part.column(1)), width)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _key_array(_keys(tokens, first))], names=["doc_id", "n", "key"])
 
     return described
@@ -132,9 +140,10 @@ def _entries(tokens: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.nd
         of = np.repeat(np.arange(len(n)), m)
         place = mix((np.arange(base[-1]) - base[of]).astype(np.uint64) * np.uint64(0x10001) + level[of].astype(np.uint64) * np.uint64(0x9E3779B9))
         deletes = bands.deletes[level]
-        weak = count <= WEAK
-        too_many = np.bincount(of, weights=weak, minlength=len(n)) > SLACK
-        entry = ~weak | too_many[of] | deletes[of]
+        limit = np.full(len(n), -1)
+        for k in range(WEAK + 1):
+            limit[np.bincount(of, weights=count <= k, minlength=len(n)) <= bands.slack[level]] = k
+        entry = (count > limit[of]) | deletes[of]
         owners.append(of[entry])
         hashes.append(mix((lows + (highs << np.uint64(32)) * np.uint64(3)) ^ place)[entry])
         less = deletes[owner]
@@ -152,7 +161,7 @@ def _index(width: int, bands: Bands, buckets: int):
     def indexed(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for part in pieces(batches, "text", PIECE_BYTES):
-            tokens, first = _sets(part, width)
+            tokens, first = _sets(byte_texts(part.column(1)), width)
             keys = _keys(tokens, first)
             fresh = np.zeros(len(keys), dtype=bool)  # copies in one piece are indexed once
             fresh[np.unique(keys, axis=0, return_index=True)[1]] = True
@@ -179,7 +188,7 @@ def _index(width: int, bands: Bands, buckets: int):
 
 
 def _groups(percent: int):
-    """Sets that share an entry, as (tile, side, key): every two members of a group meet in a tile."""
+    """Sets that share an entry: pairs (key, other) of a small group, and (tile, side, key) of a large one, where every two members meet in a tile."""
 
     def grouped(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
@@ -193,20 +202,23 @@ def _groups(percent: int):
         index, begins = equal_groups(entries.astype(np.uint64) << np.uint64(32))
         cuts = np.append(np.flatnonzero(begins), len(index))
         tiles, sides, members, seen = [], [], [], set()
+        low, high = [np.zeros((0, 2), dtype=np.uint64)], [np.zeros((0, 2), dtype=np.uint64)]
         for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             at = index[p:q]
-            if q - p == 2:
-                a, b = at
-                if (keys[a] == keys[b]).all() or min(sizes[a], sizes[b]) * 100 < percent * max(sizes[a], sizes[b]):
-                    continue
             own, where = np.unique(keys[at], axis=0, return_index=True)
             if len(own) < 2:
                 continue
-            n = sizes[at][where]
             name = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
             if name in seen:
                 continue
             seen.add(name)
+            n = sizes[at][where]
+            if len(own) <= PAIR_SETS:
+                i, j = np.triu_indices(len(own), 1)
+                near = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
+                low.append(own[i[near]])
+                high.append(own[j[near]])
+                continue
             order = np.argsort(n, kind="stable")  # by size, so that tiles too far apart in size need not meet
             own, n = own[order], n[order]
             step = max(1, min(TILE_SETS, TILE_SHINGLES // int(n[-1])))
@@ -221,19 +233,18 @@ def _groups(percent: int):
                         tiles += [tile] * len(k)
                         sides += [side] * len(k)
                         members.append(k)
-        members = np.concatenate(members) if members else np.zeros((0, 2), dtype=np.uint64)
-        return pa.table({"tile": pa.array(tiles, pa.int64()), "side": pa.array(sides, pa.int32()), "key": _key_array(members)})
+        pairs = np.unique(np.concatenate([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
+        members = np.concatenate([pairs[:, :2], *members])
+        return pa.table({"tile": pa.array([None] * len(pairs) + tiles, pa.int64()), "side": pa.array([None] * len(pairs) + sides, pa.int32()), "key": _key_array(members), "other": pa.array([k.tobytes() for k in pairs[:, 2:]] + [None] * len(tiles), pa.binary())})
 
     return grouped
 
 
-def _shingled(width: int):
-    def shingled(batches):
-        for part in pieces(batches, "text", PIECE_BYTES):
-            tokens, first = _sets(part, width)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("rep")), part.column(part.schema.get_field_index("key")), pa.array([tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["rep", "key", "tokens"])
-
-    return shingled
+def _squeezed(batches):
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for part in pieces(batches, "text", PIECE_BYTES):
+        texts = [squeeze.compress(t or b"") for t in byte_texts(part.column(2))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["rep", "key", "squeezed"])
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -259,13 +270,15 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare(percent: int):
+def _compare(percent: int, width: int):
     """Links of a tile; of those, a forest that connects what they connect."""
 
     def compared(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         rep = table.column("rep").to_numpy()
-        tokens = [np.frombuffer(t, dtype=np.uint64) for t in table.column("tokens").to_pylist()]
+        expand = zstandard.ZstdDecompressor()
+        every, first = _sets([expand.decompress(t) for t in table.column("squeezed").to_pylist()], width)
+        tokens = [every[a:b] for a, b in zip(first[:-1], first[1:])]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(right)
         right = left if alone else right
@@ -318,12 +331,20 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     entries = known.mapInArrow(_index(width, Bands(percent), buckets), "bucket long, entries binary, counts binary, sets binary")
-    tiles = cut(entries.groupBy("bucket").applyInArrow(_groups(percent), "tile long, side int, key binary").distinct())
+    groups = cut(entries.groupBy("bucket").applyInArrow(_groups(percent), "tile long, side int, key binary, other binary").distinct())
+
+    # a pair goes to its first set's tile; sets with many pairs have several tiles
+    pairs = groups.where("tile IS NULL")
+    fans = pairs.groupBy("key").agg(F.ceil(F.count("*") / TILE_SETS).alias("fan"))
+    pairs = pairs.join(fans, "key").withColumn("tile", F.xxhash64("key", F.pmod(F.xxhash64("other"), F.col("fan"))))
+    tiles = groups.where("tile IS NOT NULL").select("tile", "side", "key")
+    tiles = tiles.unionByName(pairs.select("tile", F.lit(0).alias("side"), "key").distinct()).unionByName(pairs.select("tile", F.lit(1).alias("side"), F.col("other").alias("key")))
 
     wanted = tiles.select("key").distinct().join(reps, "key")
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id").select("rep", "key", "text")
-    sets = texts.mapInArrow(_shingled(width), "rep long, key binary, tokens binary")
-    links = tiles.join(sets, "key").select("tile", "side", "rep", "tokens").groupBy("tile").applyInArrow(_compare(percent), "a long, b long")
+    texts = known.join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id").select("rep", "text", "key")
+    texts = texts.select("rep", "key", "text").mapInArrow(_squeezed, "rep long, key binary, squeezed binary")
+    # rows that share a doc_id come with each of their texts; a set's own is told by its key
+    links = tiles.join(texts, "key").select("tile", "side", "rep", "squeezed").groupBy("tile").applyInArrow(_compare(percent, width), "a long, b long")
     found = connected_components(links)
 
     labels = reps.join(found, reps["rep"] == found["id"], "left").select("key", F.coalesce("component_id", "rep").alias("label"))

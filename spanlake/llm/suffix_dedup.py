@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from spanlake.llm.arrays import byte_texts, equal_groups, mix, pieces, powers, runs, sliding_min
 from spanlake.llm.frames import column
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
 GRAM = 16
 SAMPLES = 32
