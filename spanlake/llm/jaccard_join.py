@@ -33,7 +33,7 @@ PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 WEAK = 2
 #: Index entries that one expected chance match weighs.
-MATCH_COST = 200
+MATCH_COST = 40
 #: Members and shingles of one side of a tile.
 TILE_SETS, TILE_SHINGLES = 512, 2_000_000
 #: Sets that share an entry up to which they are paired; more are laid out in tiles.
