@@ -18,6 +18,7 @@ from spanlake.llm.frames import column, cut, words
 #: Documents in one group whose running sum of sizes is one window.
 GROUP_ROWS = 10_000
 MAX_SHARDS = 1 << 16
+STRETCH = 1024
 ROUNDS = 8
 
 
@@ -95,7 +96,11 @@ class Mixture:
         counts = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         #: How many slots of each shard each source gets.
         self.counts = counts.select("shard", "rank", "n", "first", "blocks")
-        each = self.counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+        # a few rows stand for all slots: they are dealt out in stretches before each slot gets its row
+        stretch = self.counts.withColumn("since", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
+        stretch = stretch.repartition("shard", "rank", "since")
+        upto = F.least(F.col("n"), F.col("since") + STRETCH) - 1
+        each = stretch.select("*", F.explode(F.sequence("since", upto)).alias("k"))
         each = each.withColumn("j", F.col("first") + F.col("k")).where(F.col("j") < F.col("blocks") * most)
         index = F.expr(_permuted("(j % blocks)", "blocks", f"rank, j div blocks, {seed}"))
         self.slots = each.select("shard", "rank", F.xxhash64("rank", "j", F.lit(seed + 3)).alias("slot"), index.alias("index"))
@@ -110,7 +115,8 @@ class Mixture:
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken), a row per input row; taken counts the words that the mix takes, repeats too."""
         uses = self.slots.groupBy("rank", "index").agg(F.count("*").alias("uses"))
-        pieces = self._pieces(self.documents).join(uses, ["rank", "index"], "left")
+        # merge: the planner takes the slots for as few as the rows they come from, and would broadcast them
+        pieces = self._pieces(self.documents).join(uses.hint("merge"), ["rank", "index"], "left")
         n = F.when(F.col("index") >= 0, F.coalesce(F.col("n_words") * F.col("uses"), F.lit(0))).otherwise(0)
         key = ["doc_id", "source", "size", "source_size", "target", "begin"]
         # repeated rows without words share the key; each of them is one piece
@@ -128,4 +134,4 @@ class Mixture:
         rows = rows.join(texts, rows["doc_id"].eqNullSafe(texts["id"]) & (rows["size"] == texts["length"])).drop("id", "length")
         pieces = self._pieces(rows).withColumn("text", F.array_join(F.slice("words", F.col("first").cast("int") + 1, F.col("n_words").cast("int")), " "))
         pieces = pieces.select("doc_id", "rank", "source", "index", "begin", "first", "n_words", "text")
-        return self.slots.join(pieces, ["rank", "index"]).select("shard", "slot", "source", "index", "begin", "doc_id", "first", "n_words", "text")
+        return self.slots.hint("merge").join(pieces, ["rank", "index"]).select("shard", "slot", "source", "index", "begin", "doc_id", "first", "n_words", "text")
