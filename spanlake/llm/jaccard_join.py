@@ -351,3 +351,10 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     out = rows.join(labels, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns unchanged, of each component only the smallest id's; rows with null ids stay, and rows that share an id stay or go together."""
+    found = jaccard_components(docs, percent, width, id_col, text_col)
+    gone = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone")).agg(F.min(F.col("component_id") != F.col("doc_id")).alias("__all")).where("__all").select("__gone")
+    return docs.join(gone, column(id_col).cast("long") == F.col("__gone"), "left_anti")

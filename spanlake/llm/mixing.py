@@ -19,6 +19,8 @@ from spanlake.llm.frames import column, cut, words
 GROUP_ROWS = 10_000
 MAX_SHARDS = 1 << 16
 STRETCH = 1024
+#: Stands for a null id where ids are compared.
+NO_ID = -(1 << 63)
 ROUNDS = 8
 
 
@@ -128,10 +130,18 @@ class Mixture:
 
         Slots of a shard are read in order of slot, a slot's parts in order of begin. Rows that share an id and a size must hold one text.
         """
-        texts = docs.select(column(id_col).cast("long").alias("id"), words(column(text_col)).alias("words"))
-        texts = texts.withColumn("length", F.size("words").cast("long")).dropDuplicates(["id", "length"])
-        rows = self.documents.where("size > 0")
-        rows = rows.join(texts, rows["doc_id"].eqNullSafe(texts["id"]) & (rows["size"] == texts["length"])).drop("id", "length")
-        pieces = self._pieces(rows).withColumn("text", F.array_join(F.slice("words", F.col("first").cast("int") + 1, F.col("n_words").cast("int")), " "))
-        pieces = pieces.select("doc_id", "rank", "source", "index", "begin", "first", "n_words", "text")
+        n = F.coalesce(F.regexp_count(column(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+        texts = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("id"), n.alias("length"), column(text_col).alias("text")).where("length > 0").dropDuplicates(["id", "length"])
+        rows = self.documents.where("size > 0").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+        rows = rows.join(texts, (rows["id"] == texts["id"]) & (rows["size"] == texts["length"])).select("doc_id", "rank", "source", "begin", "size", words(F.col("text")).alias("words"))
+        b, begin = self.block, F.col("begin")
+
+        def piece(index):
+            first = F.greatest(index * b - begin, F.lit(0))
+            # size(words) is the row's size; naming the words twice also keeps the planner from splitting the text for each piece
+            n = F.least(F.size("words").cast("long"), (index + 1) * b - begin) - first
+            return F.struct(index.alias("index"), first.alias("first"), n.alias("n_words"), F.array_join(F.slice("words", first.cast("int") + 1, n.cast("int")), " ").alias("text"))
+
+        cut_up = F.transform(F.sequence(F.floor(begin / b), F.floor((begin + F.col("size") - 1) / b)), piece)
+        pieces = rows.select("doc_id", "rank", "source", "begin", F.inline_outer(cut_up))
         return self.slots.hint("merge").join(pieces, ["rank", "index"]).select("shard", "slot", "source", "index", "begin", "doc_id", "first", "n_words", "text")
