@@ -6,8 +6,42 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from spanlake.llm.decontamination import decontaminate
+from spanlake.llm.jaccard_join import one_of_each_group
+from spanlake.llm.line_dedup import line_dedup
+from spanlake.llm.mixing import Mixture
+from spanlake.llm.quality import score, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier of operator 2, trained on the labels, doesn't reject."""
+    machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, machine).where("predicted = 1").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its text without repeated three-line windows; n_chars follows the text."""
+    return line_dedup(docs).select(docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts whose sets of five-word shingles link at a similarity of 0.8."""
+    return one_of_each_group(docs, percent=80, width=5)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 0.8 of any benchmark item's five-word shingles."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of words mixed from the sources by weight: a row for each document's part of each slot of an output shard."""
+    return Mixture(docs).blocks(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("jaccard_join", near_copies), ("decontamination", benchmark), ("mixing", mix)]
 
 #: A trained classifier decides the first stage, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -15,10 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; what each keeps is a Parquet table in the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{root}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
     return docs
