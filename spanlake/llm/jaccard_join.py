@@ -192,27 +192,29 @@ def _groups(percent: int):
 
     def grouped(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        entries, keys, sizes = [], [], []
+        entries, keys, sizes, each = [], [], [], []
         for blob, counts, sets in zip(*(table.column(k).to_pylist() for k in ("entries", "counts", "sets"))):
             count, n = np.frombuffer(expand.decompress(counts), dtype=np.uint32).reshape(2, -1)
             entries.append(np.frombuffer(blob, dtype=np.uint32))
-            keys.append(np.repeat(np.frombuffer(sets, dtype=np.uint64).reshape(-1, 2), count, axis=0))
-            sizes.append(np.repeat(n, count))
-        entries, keys, sizes = np.concatenate(entries), np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
+            keys.append(np.frombuffer(sets, dtype="V16"))
+            sizes.append(n)
+            each.append(count)
+        keys, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        keys, sizes = keys.view(np.uint64).reshape(-1, 2), np.concatenate(sizes).astype(np.int64)[first]
+        owner, entries = np.repeat(number, np.concatenate(each)), np.concatenate(entries)
         index, begins = equal_groups(entries.astype(np.uint64) << np.uint64(32))
         cuts = np.append(np.flatnonzero(begins), len(index))
         tiles, sides, members, seen = [], [], [], set()
         low, high = [np.zeros((0, 2), dtype=np.uint64)], [np.zeros((0, 2), dtype=np.uint64)]
         for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            at = index[p:q]
-            own, where = np.unique(keys[at], axis=0, return_index=True)
-            if len(own) < 2:
+            sets = np.unique(owner[index[p:q]])
+            if len(sets) < 2:
                 continue
+            own, n = keys[sets], sizes[sets]
             name = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
             if name in seen:
                 continue
             seen.add(name)
-            n = sizes[at][where]
             if len(own) <= PAIR_SETS:
                 i, j = np.triu_indices(len(own), 1)
                 near = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
@@ -243,8 +245,8 @@ def _groups(percent: int):
 def _squeezed(batches):
     squeeze = zstandard.ZstdCompressor(level=3)
     for part in pieces(batches, "text", PIECE_BYTES):
-        texts = [squeeze.compress(t or b"") for t in byte_texts(part.column(2))]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["rep", "key", "squeezed"])
+        texts = [squeeze.compress(t or b"") for t in byte_texts(part.column(1))]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc_id", "squeezed"])
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -341,9 +343,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     tiles = tiles.unionByName(pairs.select("tile", F.lit(0).alias("side"), "key").distinct()).unionByName(pairs.select("tile", F.lit(1).alias("side"), F.col("other").alias("key")))
 
     wanted = tiles.select("key").distinct().join(reps, "key")
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id").select("rep", "text", "key")
-    texts = texts.select("rep", "key", "text").mapInArrow(_squeezed, "rep long, key binary, squeezed binary")
-    # rows that share a doc_id come with each of their texts; a set's own is told by its key
+    texts = known.mapInArrow(_squeezed, "doc_id long, squeezed binary").join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id")
     links = tiles.join(texts, "key").select("tile", "side", "rep", "squeezed").groupBy("tile").applyInArrow(_compare(percent, width), "a long, b long")
     found = connected_components(links)
 
