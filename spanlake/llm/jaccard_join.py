@@ -3,14 +3,17 @@
 Sets fall into size bands. For the larger set of a pair in a band, the threshold bounds the number H of shingles that only
 one of the two holds. The universe of shingles is hashed into segments:
 
-* exact: H + 1 + slack segments, of which at least slack + 1 are the same in both sets. Each set is indexed by the contents
+* exact: H + 1 + slack segments, of which at least slack + 1 are the same in both sets. slack follows the number of empty
+  segments to be expected of a band's sets. Each set is indexed by the contents
   of its segments. Segments of few shingles, which chance or a shared passage makes equal, get no entry: those of WEAK or
   fewer, or of one less, and so on, as far as a set has at most slack of them. Two similar sets still share one that both
   index, as the larger of their two limits leaves out at most slack of the segments that are the same.
 * one deletion: (H + 1) / 2 segments, of which at least one differs by one shingle at most. Each is indexed whole and without
   each of its shingles.
 
-Every band takes the scheme that costs less, counting entries and expected chance matches. Sets that share an entry are
+A band takes the scheme that costs less: one deletion where a set has so few shingles that its segments hold four or five and
+chance matches would cost most, and exact elsewhere, as it has a fifth of the entries. Of sets that share an entry, pairs whose shingles fall too
+differently on the parts of the universe are dropped: the sum of their counts' differences bounds from below what only one holds. The others are
 compared by their shingles, in tiles of bounded size. Copies count once: a set is known by a 128-bit sum of its shingles.
 """
 
@@ -32,10 +35,10 @@ from spanlake.llm.frames import column, cut
 PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 WEAK = 2
-#: Index entries that one expected chance match weighs.
-MATCH_COST = 40
 #: Members and shingles of one side of a tile.
 TILE_SETS, TILE_SHINGLES = 512, 2_000_000
+#: The largest set of the bands that are indexed with one deletion.
+DELETE_TOP = 24
 #: Sets that share an entry up to which they are paired; more are laid out in tiles.
 PAIR_SETS = 48
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -51,19 +54,15 @@ class Bands:
             tops.append(max(tops[-1] + 1, tops[-1] * 100 // percent))
         self.tops = np.array(tops[1:], dtype=np.int64)
         self.differ = (100 - percent) * 2 * self.tops // (100 + percent)
-        n, h = self.tops * 0.85, self.differ
-        self.slack = np.full(len(n), 2)
-        for _ in range(6):  # the segments of one shingle or none that are to be expected, and two deviations more
+        n, h = self.tops * (percent / 100) ** 2, self.differ
+        self.slack = np.zeros(len(n), dtype=np.int64)
+        for _ in range(4):  # the empty segments that are to be expected of a band's smaller sets, and three deviations more
             exact = h + 1 + self.slack
-            few = exact * np.exp(-n / exact) * (1 + n / exact)
-            self.slack = np.ceil(few + 2 * np.sqrt(few) + 1).astype(np.int64)
+            empty = exact * np.exp(-n / exact)
+            self.slack = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
         exact = h + 1 + self.slack
         halves = (h + 2) // 2
-        t = n / exact * 0.8
-        cost_exact = exact + MATCH_COST * exact * np.exp(-t)
-        t = n / halves
-        cost_halves = halves * (1 + t) + MATCH_COST * halves * (1 + 0.8 * t) * np.exp(-0.8 * t)
-        self.deletes = cost_halves < cost_exact
+        self.deletes = self.tops <= DELETE_TOP
         self.segments = np.where(self.deletes, halves, exact)
 
 
@@ -103,11 +102,48 @@ def _key_array(keys: np.ndarray) -> pa.Array:
     return pa.array([k.tobytes() for k in np.ascontiguousarray(keys)], pa.binary())
 
 
+def _outlines(tokens: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many of each set's shingles fall on each part of the universe, two parts a byte, 15 standing for more.
+
+    A set of n has between n / 4 and n / 2 parts, a power of two; those of a smaller power are sums of neighbours.
+    """
+    n = np.diff(first)
+    bits = np.maximum(1, np.floor(np.log2(np.maximum(n, 4))).astype(np.int64) - 1)
+    base = np.zeros(len(n) + 1, dtype=np.int64)
+    np.cumsum(1 << bits, out=base[1:])
+    owner = np.repeat(np.arange(len(n)), n)
+    part = (mix(tokens ^ np.uint64(0x1B873593)) >> (np.uint64(64) - bits[owner].astype(np.uint64))).astype(np.int64)
+    count = np.minimum(np.bincount(base[owner] + part, minlength=base[-1]), 15).astype(np.uint8)
+    packed = (count[::2] | count[1::2] << 4).tobytes()
+    return [packed[a // 2 : b // 2] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+
+
+def _counts(outline: bytes, parts: int) -> np.ndarray:
+    both = np.frombuffer(outline, dtype=np.uint8)
+    out = np.empty(2 * len(both), dtype=np.int64)
+    out[::2], out[1::2] = both & 15, both >> 4
+    return np.minimum(out.reshape(parts, -1).sum(axis=1), 15)
+
+
+def _possible(percent: int):
+    """Pairs that their outlines let be similar enough."""
+
+    def possible(batches):
+        for part in batches:
+            keep = []
+            for n, m, a, b in zip(*(part.column(part.schema.get_field_index(k)).to_pylist() for k in ("n", "other_n", "outline", "other_outline"))):
+                parts = 2 * min(len(a), len(b))
+                keep.append(int(np.abs(_counts(a, parts) - _counts(b, parts)).sum()) * (100 + percent) <= (100 - percent) * (n + m))
+            yield part.select(["key", "other"]).filter(pa.array(keep, pa.bool_()))
+
+    return possible
+
+
 def _describe(width: int):
     def described(batches):
         for part in pieces(batches, "text", PIECE_BYTES):
             tokens, first = _sets(byte_texts(part.column(1)), width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _key_array(_keys(tokens, first))], names=["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _key_array(_keys(tokens, first)), pa.array(_outlines(tokens, first), pa.binary())], names=["doc_id", "n", "key", "outline"])
 
     return described
 
@@ -322,21 +358,24 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     the row's own included.
 
     Null text, empty text and text without words: an empty set, linked with nothing. Null doc_id: n_shingles is counted,
-    component_id is null, and the row links with nothing. Rows that share a doc_id and a set are one document; rows that
-    share a doc_id and not the set each have their set's component. Only the two named columns are read, so others may have
+    component_id is null, and the row links with nothing. Rows that share a doc_id are one document, linked by the set of
+    each. Only the two named columns are read, so others may have
     any names. An empty table gives no rows.
     """
     docs = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    rows = cut(docs.mapInArrow(_describe(width), "doc_id long, n long, key binary"))
-    reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    rows = cut(docs.mapInArrow(_describe(width), "doc_id long, n long, key binary, outline binary"))
+    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n", "outline")).alias("of"))
+    reps = sets.select("key", "rep")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     entries = known.mapInArrow(_index(width, Bands(percent), buckets), "bucket long, entries binary, counts binary, sets binary")
     groups = cut(entries.groupBy("bucket").applyInArrow(_groups(percent), "tile long, side int, key binary, other binary").distinct())
 
     # a pair goes to its first set's tile; sets with many pairs have several tiles
-    pairs = groups.where("tile IS NULL")
+    pairs = groups.where("tile IS NULL").select("key", "other")
+    pairs = pairs.join(sets.select("key", "of.n", "of.outline"), "key").join(sets.select(F.col("key").alias("other"), F.col("of.n").alias("other_n"), F.col("of.outline").alias("other_outline")), "other")
+    pairs = cut(pairs.mapInArrow(_possible(percent), "key binary, other binary"))
     fans = pairs.groupBy("key").agg(F.ceil(F.count("*") / TILE_SETS).alias("fan"))
     pairs = pairs.join(fans, "key").withColumn("tile", F.xxhash64("key", F.pmod(F.xxhash64("other"), F.col("fan"))))
     tiles = groups.where("tile IS NOT NULL").select("tile", "side", "key")
@@ -345,6 +384,9 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     wanted = tiles.select("key").distinct().join(reps, "key")
     texts = known.mapInArrow(_squeezed, "doc_id long, squeezed binary").join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id")
     links = tiles.join(texts, "key").select("tile", "side", "rep", "squeezed").groupBy("tile").applyInArrow(_compare(percent, width), "a long, b long")
+    # rows that share a doc_id and not the set tie what the sets are known by
+    several = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    links = links.unionByName(rows.where("n > 0").join(several, "doc_id").join(reps, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = connected_components(links)
 
     labels = reps.join(found, reps["rep"] == found["id"], "left").select("key", F.coalesce("component_id", "rep").alias("label"))
