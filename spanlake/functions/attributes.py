@@ -130,5 +130,8 @@ def service_metadata(record: Column) -> Column:
 def prefixed(headers: Column, telemetry: Column) -> Column:
     """One flat record of a message: its headers under `header.`, its telemetry under `telemetry.`."""
     none = F.create_map().cast("map<string,string>")
-    parts = [F.transform_keys(F.coalesce(m, none), lambda k, _, p=p: F.concat(F.lit(p), k)) for m, p in ((headers, "header."), (telemetry, "telemetry."))]
-    return F.map_concat(*parts)
+
+    def under(record: Column, prefix: str) -> Column:
+        return F.transform_keys(F.coalesce(record, none), lambda k, _: F.concat(F.lit(prefix), k))
+
+    return F.map_concat(under(headers, "header."), under(telemetry, "telemetry."))
