@@ -188,7 +188,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def scored(batches):
         for part in pieces(batches, "text", PIECE_BYTES):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(machine.scores(part))], names=["text", "row", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(machine.scores(part).astype(float))], names=["text", "row", "score"])
 
     out = rows.mapInArrow(scored, StructType([rows.schema["text"], rows.schema["row"], StructField("score", DoubleType())]))
     columns = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in rest]
