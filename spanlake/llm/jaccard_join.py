@@ -224,7 +224,10 @@ def _index(width: int, bands: Bands, buckets: int):
 
 
 def _groups(percent: int):
-    """Sets that share an entry: pairs (key, other) of a small group, and (tile, side, key) of a large one, where every two members meet in a tile."""
+    """Sets that share an entry: pairs (key, other) of a small group, and the members of a large one, with its name, size and least node.
+
+    A set's node is a part of its key, as a number; two sets can have the same.
+    """
 
     def grouped(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
@@ -240,40 +243,41 @@ def _groups(percent: int):
         owner, entries = np.repeat(number, np.concatenate(each)), np.concatenate(entries)
         index, begins = equal_groups(entries.astype(np.uint64) << np.uint64(32))
         cuts = np.append(np.flatnonzero(begins), len(index))
-        tiles, sides, members, seen = [], [], [], set()
-        low, high = [np.zeros((0, 2), dtype=np.uint64)], [np.zeros((0, 2), dtype=np.uint64)]
+        low, high, large, seen = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [], set()
         for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             sets = np.unique(owner[index[p:q]])
             if len(sets) < 2:
                 continue
-            own, n = keys[sets], sizes[sets]
-            name = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
+            name = hashlib.blake2b(keys[sets].tobytes(), digest_size=8).digest()
             if name in seen:
                 continue
             seen.add(name)
-            if len(own) <= PAIR_SETS:
-                i, j = np.triu_indices(len(own), 1)
+            n = sizes[sets]
+            if len(sets) <= PAIR_SETS:
+                i, j = np.triu_indices(len(sets), 1)
                 near = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
-                low.append(own[i[near]])
-                high.append(own[j[near]])
-                continue
-            order = np.argsort(n, kind="stable")  # by size, so that tiles too far apart in size need not meet
-            own, n = own[order], n[order]
-            step = max(1, min(TILE_SETS, TILE_SHINGLES // int(n[-1])))
-            starts = list(range(0, len(own), step))
-            for i, s in enumerate(starts):
-                for j, t in enumerate(starts[: i + 1]):
-                    if n[min(t + step, len(n)) - 1] * 100 < percent * n[s]:
-                        continue
-                    tile = int.from_bytes(hashlib.blake2b(name + b"%d %d" % (i, j), digest_size=8).digest(), "little", signed=True)
-                    for side, x in ((0, s),) if s == t else ((0, s), (1, t)):
-                        k = own[x : x + step]
-                        tiles += [tile] * len(k)
-                        sides += [side] * len(k)
-                        members.append(k)
-        pairs = np.unique(np.concatenate([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
-        members = np.concatenate([pairs[:, :2], *members])
-        return pa.table({"tile": pa.array([None] * len(pairs) + tiles, pa.int64()), "side": pa.array([None] * len(pairs) + sides, pa.int32()), "key": _key_array(members), "other": pa.array([k.tobytes() for k in pairs[:, 2:]] + [None] * len(tiles), pa.binary())})
+                low.append(sets[i[near]])
+                high.append(sets[j[near]])
+            else:
+                large.append((int.from_bytes(name, "little", signed=True), sets))
+        pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
+        first = np.concatenate([pairs[:, 0], *(s for _, s in large)])
+        names = _key_array(keys)
+        node = keys[:, 0].view(np.int64)
+        none = [None] * len(pairs)
+        flat = lambda values: np.concatenate([np.zeros(0, dtype=np.int64), *(np.full(len(s), v) for v, (_, s) in zip(values, large))]).astype(np.int64).tolist()
+        return pa.table(
+            {
+                "key": names.take(pa.array(first)),
+                "node": node[first],
+                "other": pa.concat_arrays([names.take(pa.array(pairs[:, 1])), pa.nulls(len(first) - len(pairs), pa.binary())]),
+                "other_node": pa.array(node[pairs[:, 1]].tolist() + [None] * (len(first) - len(pairs)), pa.int64()),
+                "n": sizes[first],
+                "name": pa.array(none + flat([v for v, _ in large]), pa.int64()),
+                "least": pa.array(none + flat([node[s].min() for _, s in large]), pa.int64()),
+                "size": pa.array(none + flat([len(s) for _, s in large]), pa.int64()),
+            }
+        )
 
     return grouped
 
@@ -350,6 +354,29 @@ def _compare(percent: int, width: int):
     return compared
 
 
+def _units(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unit, key, parts): sets to be compared with each other, and (node, component_id) of those units that are whole components.
+
+    One group of near copies makes many large groups, a segment each, of nearly the same sets. Large groups that hang together are one
+    unit if that costs less than each of them alone, going by squares of sizes; otherwise each is a unit.
+    """
+    large = cut(large)
+    if large.isEmpty():
+        spark = large.sparkSession
+        return spark.createDataFrame([], "unit long, key binary, parts long"), spark.createDataFrame([], "node long, component_id long")
+    found = connected_components(large.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = large.join(found, F.col("node") == F.col("id")).select("component_id", "node", "key", "n", "name", "size")
+    once = members.groupBy("component_id", "node", "key").agg(F.max("n").alias("n"), F.sum("size").alias("alone"))
+    parts = lambda count, n: F.ceil(F.greatest(count / TILE_SETS, n / TILE_SHINGLES))
+    whole = once.groupBy("component_id").agg(F.count("*").alias("count"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
+    whole = cut(whole.select("component_id", parts(F.col("count"), F.col("n")).alias("parts"), (F.col("count") * F.col("count") <= F.col("alone")).alias("joined")))
+    together = once.join(whole.where("joined"), "component_id")
+    apart = members.join(whole.where("NOT joined").select("component_id"), "component_id")
+    sizes = apart.groupBy("name").agg(parts(F.count("*"), F.sum("n")).alias("parts"))
+    units = together.select(F.xxhash64("component_id").alias("unit"), "key", "parts").unionByName(apart.join(sizes, "name").select(F.col("name").alias("unit"), "key", "parts"))
+    return cut(units), cut(together.select("node", "component_id").distinct())
+
+
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per input row.
 
@@ -370,15 +397,22 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     entries = known.mapInArrow(_index(width, Bands(percent), buckets), "bucket long, entries binary, counts binary, sets binary")
-    groups = cut(entries.groupBy("bucket").applyInArrow(_groups(percent), "tile long, side int, key binary, other binary").distinct())
+    schema = "key binary, node long, other binary, other_node long, n long, name long, least long, size long"
+    groups = cut(entries.groupBy("bucket").applyInArrow(_groups(percent), schema).distinct())
+    units, joined = _units(groups.where("name IS NOT NULL"))
 
     # a pair goes to its first set's tile; sets with many pairs have several tiles
-    pairs = groups.where("tile IS NULL").select("key", "other")
+    pairs = groups.where("name IS NULL").select("key", "node", "other", "other_node")
+    mine, theirs = joined.select("node", F.col("component_id").alias("mine")), joined.select(F.col("node").alias("other_node"), F.col("component_id").alias("theirs"))
+    pairs = pairs.join(mine, "node", "left").join(theirs, "other_node", "left").where("NOT coalesce(mine = theirs, false)")
     pairs = pairs.join(sets.select("key", "of.n", "of.outline"), "key").join(sets.select(F.col("key").alias("other"), F.col("of.n").alias("other_n"), F.col("of.outline").alias("other_outline")), "other")
-    pairs = cut(pairs.mapInArrow(_possible(percent), "key binary, other binary"))
+    pairs = cut(pairs.select("key", "other", "n", "other_n", "outline", "other_outline").mapInArrow(_possible(percent), "key binary, other binary"))
     fans = pairs.groupBy("key").agg(F.ceil(F.count("*") / TILE_SETS).alias("fan"))
     pairs = pairs.join(fans, "key").withColumn("tile", F.xxhash64("key", F.pmod(F.xxhash64("other"), F.col("fan"))))
-    tiles = groups.where("tile IS NOT NULL").select("tile", "side", "key")
+
+    # every two members of a unit meet in a tile of two of its parts, or of one
+    units = units.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tiles = units.select(F.xxhash64("unit", F.least("part", "meets"), F.greatest("part", "meets")).alias("tile"), (F.col("part") > F.col("meets")).cast("int").alias("side"), "key")
     tiles = tiles.unionByName(pairs.select("tile", F.lit(0).alias("side"), "key").distinct()).unionByName(pairs.select("tile", F.lit(1).alias("side"), F.col("other").alias("key")))
 
     wanted = tiles.select("key").distinct().join(reps, "key")
