@@ -365,13 +365,13 @@ def _units(large: DataFrame) -> tuple[DataFrame, DataFrame]:
         spark = large.sparkSession
         return spark.createDataFrame([], "unit long, key binary, parts long"), spark.createDataFrame([], "node long, component_id long")
     found = connected_components(large.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = large.join(found, F.col("node") == F.col("id")).select("component_id", "node", "key", "n", "name", "size")
-    once = members.groupBy("component_id", "node", "key").agg(F.max("n").alias("n"), F.sum("size").alias("alone"))
+    once = large.groupBy("node", "key").agg(F.max("n").alias("n"), F.sum("size").alias("alone"))
+    once = cut(once.join(found, F.col("node") == F.col("id")).select("component_id", "node", "key", "n", "alone"))
     parts = lambda count, n: F.ceil(F.greatest(count / TILE_SETS, n / TILE_SHINGLES))
     whole = once.groupBy("component_id").agg(F.count("*").alias("count"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
     whole = cut(whole.select("component_id", parts(F.col("count"), F.col("n")).alias("parts"), (F.col("count") * F.col("count") <= F.col("alone")).alias("joined")))
     together = once.join(whole.where("joined"), "component_id")
-    apart = members.join(whole.where("NOT joined").select("component_id"), "component_id")
+    apart = large.join(once.join(whole.where("NOT joined").select("component_id"), "component_id").select("node").distinct(), "node")
     sizes = apart.groupBy("name").agg(parts(F.count("*"), F.sum("n")).alias("parts"))
     units = together.select(F.xxhash64("component_id").alias("unit"), "key", "parts").unionByName(apart.join(sizes, "name").select(F.col("name").alias("unit"), "key", "parts"))
     return cut(units), cut(together.select("node", "component_id").distinct())
