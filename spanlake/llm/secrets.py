@@ -1,13 +1,14 @@
 """Secrets in texts: patterns, and strings in a sensitive context that zstandard can't predict.
 
-A candidate is a long run of key characters shortly behind a sensitive word. Its novelty is what it adds to the compressed
-size of its surroundings, a byte of it, by a compressor primed with a dictionary of identifiers and code. Words and
-identifiers cost little; keys cost nearly their entropy.
+A candidate is a long run of key characters shortly behind a sensitive word, or what an '=' in such a run assigns. Its
+novelty is what it adds to the compressed size of its surroundings, without copies of it, a byte of it, by a compressor
+primed with a dictionary of identifiers and code. Words and identifiers cost little; keys cost nearly their entropy.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -28,7 +29,10 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Words whose neighbourhood is sensitive.
 CONTEXT_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "bearer", "authorization", "auth_", "signing", "encryption", "client_id", "key=", "key:", "pwd", "passphrase")
 _CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)))
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_CHARS = 20
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+_NAME = re.compile(r"[a-z_-]*|[A-Z_-]*")
+_ASSIGNED = re.compile(r"=+(?=[A-Za-z0-9+/_-])")  # padding at the end assigns nothing
 #: How many characters may lie between a sensitive word and a candidate, and how many on either side are its surroundings.
 REACH, AROUND = 64, 256
 NOVELTY = 0.6
@@ -66,8 +70,31 @@ def base_spans(text: str, lower: str) -> list[tuple[int, str, int]]:
     return spans + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
+def _parts(text: str, lower: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A run of key characters, split at each '=' that a candidate's length follows, without the names in front of these."""
+    out = []
+    for s, e in (m.span() for m in _ASSIGNED.finditer(text, start, end) if end - m.end() >= LEAST_CHARS):
+        head = max(text.rfind("/", start, s), text.rfind("+", start, s), start - 1)
+        named = any(w in lower[head + 1 : e] for w in CONTEXT_WORDS) or _NAME.fullmatch(text, head + 1, s)
+        out.append((start, max(head, start) if named else s))
+        start = e
+    return [*out, (start, end)]
+
+
+def _surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands on either side, without other copies of the string: next to one, a key would cost nothing."""
+    candidate, n = text[start:end], end - start
+    before, after = text[max(0, start - AROUND - n) : start], text[end : end + AROUND + n]
+    # blanked before they are cut to AROUND, so that no part of a copy stays
+    before, after = (side.replace(candidate, "\0" * n) for side in (before, after))
+    return before[-AROUND:].replace("\0", ""), after[:AROUND].replace("\0", "")
+
+
 def novel_spans(text: str, lower: str, taken: list[tuple[int, str, int]], novelty: Novelty, least: float) -> list[tuple[int, str, int]]:
-    """Candidates outside the spans taken, shortly behind a sensitive word, whose novelty reaches `least`."""
+    """Candidates outside the spans taken, shortly behind a sensitive word, whose novelty reaches `least`.
+
+    Of NAME=value the value counts, and the sensitive word can be in the name; the whole run counts where no part of it does.
+    """
     if not any(w in lower for w in CONTEXT_WORDS):
         return []
     out, edges = [], sorted((s, e) for s, _, e in taken)
@@ -75,19 +102,30 @@ def novel_spans(text: str, lower: str, taken: list[tuple[int, str, int]], novelt
     if not candidates:
         return []
     marks = [m.end() for m in _CONTEXT.finditer(lower)]
-    at = held = 0
+    held = 0
+
+    def near(place: int) -> bool:
+        at = bisect_right(marks, place)
+        return at > 0 and place <= marks[at - 1] + REACH
+
+    def novel(start: int, end: int) -> bool:
+        k = held
+        while k < len(edges) and edges[k][1] <= start:
+            k += 1
+        candidate = text[start:end]
+        if k < len(edges) and edges[k][0] < end or len(candidate) < LEAST_CHARS or candidate.isalpha() or candidate.isdigit():
+            return False
+        before, after = _surroundings(text, start, end)
+        return novelty.of(before, candidate, after) >= least
+
     for start, end in candidates:
-        while at + 1 < len(marks) and marks[at + 1] <= start:
-            at += 1
         while held < len(edges) and edges[held][1] <= start:
             held += 1
-        if not (marks[at] <= start <= marks[at] + REACH) or held < len(edges) and edges[held][0] < end:
-            continue
-        candidate = text[start:end]
-        if candidate.isalpha() or candidate.isdigit():
-            continue
-        if novelty.of(text[max(0, start - AROUND) : start], candidate, text[end : end + AROUND]) >= least:
-            out.append((start, "novel", end))
+        behind, parts = near(start), _parts(text, lower, start, end)
+        found = [(s, "novel", e) for s, e in parts if (behind or near(s)) and novel(s, e)]
+        if not found and len(parts) > 1 and behind and novel(start, end):
+            found = [(start, "novel", end)]
+        out += found
     return out
 
 

@@ -269,6 +269,21 @@ def test_secrets(spark):
     assert secret_spans(odd(spark)).count() == 6 and secret_spans(empty(spark)).count() == 0
 
 
+def test_secrets_in_assignments(spark):
+    """Values of NAME=value, the sensitive word being in the name."""
+    key, other = "q7Z/x9Kp2LmW4vRt8YbN3cHs6JdF1gQe", "Uw5+Xe0Bn7TzGk3PyA9sMhV2rDjC6fLo"
+    names = ["AWS_SECRET_ACCESS_KEY", "private_key", "credential", "pwd", "passphrase", "api-key", "SIGNING_SALT", "https://host.example/path?page=2&access_key"]
+    rows = list(enumerate(f"{n}={key}" for n in names))
+    rows += [(20, f"pwd={key}==\nnext"), (21, f"AWS_ACCESS_KEY_ID={other}\nAWS_SECRET_ACCESS_KEY={key}\n"), (22, f"pwd={key}\n# before:\npwd={key}\n")]
+    rows += [(23, f"pwd={key}\n" * 12), (24, f"bearer {key[:12]}={other[:12]}"), (25, f"NAME={key}"), (26, "private_key=configuration_settings_environment"), (27, f"bearer {key}={other[:12]}"), (28, f"/token_a={key}/secret_b={other}")]
+    got = {r["doc_id"]: r for r in secret_spans(table(spark, rows)).collect()}
+    assert all(r["base"] == "" for r in got.values())
+    found = {i: [t[int(s) : int(e)] for s, e in (x.split(":")[1:] for x in got[i]["spans"].split(",") if x)] for i, t in rows}
+    assert [found[i] for i in range(len(names))] == [[key]] * len(names)
+    assert [found[i] for i in range(20, 24)] == [[key + "=="], [other, key], [key] * 2, [key] * 12]
+    assert [found[i] for i in range(24, 29)] == [[f"{key[:12]}={other[:12]}"], [], [], [f"{key}={other[:12]}"], [key, other]]
+
+
 def test_secrets_base_matches_the_patterns(spark):
     rng = random.Random(9)
     parts = ["token", "Secret", "api_key", "APIKEY", "=", ":", " ", "\t", '"', "'", "abc", "AKIA", "ABCDEFGH", "deadbeef", "0123", "é", ".", "-", "password"]
