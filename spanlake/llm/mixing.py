@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm.frames import column, cut, words
@@ -56,16 +56,21 @@ def _permuted(index: str, n: str, key: str) -> str:
     return f"aggregate(sequence(0, 64), cast({index} as bigint), (x, i) -> if(i = 0 or x >= {n}, {feistel}, x))"
 
 
+def _hash(text_col: str) -> Column:
+    """MD5 of a text, 16 bytes: tells rows of one id and size apart."""
+    return F.unhex(F.md5(column(text_col).cast("binary")))
+
+
 class Mixture:
     """The parts of one mix; each is a DataFrame.
 
-    documents: (doc_id, rank, source, source_size, target, size, begin), begin being the row's place in its source;
+    documents: (doc_id, rank, source, source_size, target, size, hash, begin), hash being the text's and begin the row's place in its source;
     slots: (shard, slot, rank, index), a block index for each slot of the output.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), most: int = 3, block: int = 128, shard_slots: int = 4096, seed: int = 17):
         self.block, self.most = block, most
-        sized = docs.select(column(id_col).cast("long").alias("doc_id"), column(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(column(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+        sized = docs.select(column(id_col).cast("long").alias("doc_id"), column(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(column(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), _hash(text_col).alias("hash"))
         sized = cut(sized)
         sources = cut(source_targets(sized, weights, most))
         n_rows = sized.count()
@@ -76,10 +81,10 @@ class Mixture:
         over = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("source", "group", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("base"))
         sums = sums.join(sources, sums["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-        running = F.sum("size").over(Window.partitionBy("source", "group").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+        running = F.sum("size").over(Window.partitionBy("source", "group").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, 0))
         placed = placed.withColumn("end", running)
         same = placed["source"].eqNullSafe(sums["source"]) & (placed["group"] == sums["group"])
-        self.documents = placed.join(sums, same).select("doc_id", "rank", placed["source"], "source_size", "target", "size", (F.col("base") + F.col("end") - F.col("size")).alias("begin"))
+        self.documents = placed.join(sums, same).select("doc_id", "rank", placed["source"], "source_size", "target", "size", "hash", (F.col("base") + F.col("end") - F.col("size")).alias("begin"))
 
         blocks = F.ceil(F.col("source_size") / block)
         drawn = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), (F.col("target") * blocks / F.col("source_size")).alias("slots"))
@@ -128,12 +133,12 @@ class Mixture:
     def blocks(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The mixed words: (shard, slot, source, index, begin, doc_id, first, n_words, text), a row for each document's part of each slot.
 
-        Slots of a shard are read in order of slot, a slot's parts in order of begin. Rows that share an id and a size must hold one text.
+        Slots of a shard are read in order of slot, a slot's parts in order of begin. Each row gives its own text, with a null or repeated id too.
         """
         n = F.coalesce(F.regexp_count(column(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-        texts = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("id"), n.alias("length"), column(text_col).alias("text")).where("length > 0").dropDuplicates(["id", "length"])
+        texts = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("id"), n.alias("length"), _hash(text_col).alias("digest"), column(text_col).alias("text")).where("length > 0").dropDuplicates(["id", "length", "digest"])
         rows = self.documents.where("size > 0").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-        rows = rows.join(texts, (rows["id"] == texts["id"]) & (rows["size"] == texts["length"])).select("doc_id", "rank", "source", "begin", "size", words(F.col("text")).alias("words"))
+        rows = rows.join(texts, (rows["id"] == texts["id"]) & (rows["size"] == texts["length"]) & (rows["hash"] == texts["digest"])).select("doc_id", "rank", "source", "begin", "size", words(F.col("text")).alias("words"))
         b, begin = self.block, F.col("begin")
 
         def piece(index):

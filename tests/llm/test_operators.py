@@ -234,6 +234,19 @@ def test_mixing(spark):
     assert Mixture(spark.createDataFrame([], "doc_id long, text string, source string")).taken().count() == 0
 
 
+def test_mixing_gives_each_row_its_own_text(spark):
+    """Null and repeated ids of one size, at other places and in another order too."""
+    rows = [(i, " ".join(f"{name}{k}" for k in range(20)), "a") for i, name in ((None, "p"), (None, "q"), (None, "r"), (7, "s"), (7, "t"), (-(1 << 63), "u"), (None, "p"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = ["shard", "slot", "begin", "text"]
+    parts = Mixture(df, block=8).blocks(df).select("doc_id", "n_words", *keys).collect()
+    words = Counter(w for r in parts for w in r["text"].split())
+    assert words == Counter(w for _, t, _ in rows for w in t.split())
+    assert all(r["n_words"] == len(r["text"].split()) and (r["doc_id"], r["text"][0]) in {(i, t[0]) for i, t, _ in rows} for r in parts)
+    again = df.repartition(5)
+    assert sorted(map(str, Mixture(again, block=8).blocks(again).select("doc_id", "n_words", *keys).collect())) == sorted(map(str, parts))
+
+
 def test_permutation_is_one(spark):
     from spanlake.llm.mixing import _permuted
 
