@@ -16,8 +16,10 @@ from spanlake.llm.quality import score, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of operator 2, trained on the labels, doesn't reject."""
+    """Documents that the classifier of operator 2, trained on the labels, doesn't reject; all of them where no label could be trained on."""
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not machine.fitted:
+        return docs
     return score(docs, machine).where("predicted = 1").select(docs.columns)
 
 

@@ -79,6 +79,7 @@ class Machine:
     v: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
+    fitted: bool = True
 
     def join(self, index, value, first, stats):
         """The hashed words and the statistics as one list of features, row by row."""
@@ -157,7 +158,7 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Machine:
-    """Fits on at most `rows` labelled rows that are not held out; without any, every text scores 0.5.
+    """Fits on at most `rows` labelled rows that are not held out; without any, every text scores 0.5 and the machine's `fitted` is false.
 
     Labels other than 0 and 1, null ids and null labels are left out; of repeated ids the largest label counts.
     """
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = _columns(docs, id_col, text_col, chars_col).join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= chars)
     got = sample.mapInArrow(_featured, "doc_id long, label int, index binary, value binary, stats binary").toArrow().sort_by([("doc_id", "ascending"), ("stats", "ascending")])
     if not got.num_rows:
-        return Machine(0.0, np.zeros((1 << BITS) + N_STATS, dtype=np.float32), np.zeros(((1 << BITS) + N_STATS, FACTORS), dtype=np.float32), np.zeros(N_STATS), np.ones(N_STATS))
+        return Machine(0.0, np.zeros((1 << BITS) + N_STATS, dtype=np.float32), np.zeros(((1 << BITS) + N_STATS, FACTORS), dtype=np.float32), np.zeros(N_STATS), np.ones(N_STATS), fitted=False)
     index = [np.frombuffer(b, dtype=np.uint16) for b in got.column("index").to_pylist()]
     value = np.concatenate([np.frombuffer(b, dtype=np.float32) for b in got.column("value").to_pylist()])
     stats = np.stack([np.frombuffer(b) for b in got.column("stats").to_pylist()])

@@ -70,6 +70,15 @@ def test_pipeline(spark, tmp_path):
     assert all(r["text"] in texts[r["doc_id"]] for r in after.collect())
 
 
+@pytest.mark.parametrize("which", ["doc_id < 0", "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"])
+def test_quality_stage_without_usable_labels(spark, tmp_path, which):
+    """No labels, or held-out ones only: nothing is trained, so nothing is rejected."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/labels.parquet").where(which).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == docs.count() > 0
+
+
 def test_entry_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
