@@ -105,7 +105,7 @@ def _compare(threshold: float):
             i, j = i[own], j[own] + shift
             for k in range(0, len(i), PAIRS):
                 p, q = i[k : k + PAIRS], j[k : k + PAIRS]
-                linked = (np.einsum("ij,ij->i", every[p], every[q]) >= threshold) & (dims[p] == dims[q])
+                linked = (np.einsum("ij,ij->i", every[p], every[q]) >= threshold) & (dims[p] == dims[q]) & (ids[p] != ids[q])
                 hit_i.append(p[linked])
                 hit_j.append(q[linked])
         i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (hit_i, hit_j))
@@ -129,8 +129,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     """(vec_id, n_links, component_id, kept), a row per vec_id: the other vectors at or above the cosine, the smallest id reachable by links, and whether that is its own.
 
     Null or zero vectors, and those with null or non-finite components, link with nothing; so do vectors of different
-    length with each other. Rows that share a vec_id are one vector, the largest as arrays compare. Null ids are one row
-    without links, its component null and kept false. Only the two named columns are read, so others may have any names.
+    length with each other. Of rows that share a vec_id each distinct vector is compared with those of other ids: n_links
+    counts the pairs, and a link of one joins the id. Null ids are one row without links, its component null and kept false. Only the two named columns are read, so others may have any names.
     An empty table gives no rows.
 
     A tile holds about TILE vectors. What leaves a pair of tiles is a count per vector and a forest of its links, so a group
@@ -139,9 +139,9 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     one = vectors.select(column(id_col).cast("long").alias("vec_id"), column(vector_col).cast("array<double>").alias("embedding"))
-    one = cut(one.groupBy("vec_id").agg(F.max("embedding").alias("embedding")))
+    one = cut(one.distinct())
     usable = one.where("vec_id IS NOT NULL AND size(embedding) > 0")
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PIVOTS).toArrow()
+    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(4 * PIVOTS).toArrow()
     chosen, good = _units(_matrix(sample.column("embedding").combine_chunks())) if sample.num_rows else (np.zeros((0, 1)), np.zeros(0, dtype=bool))
     pivots = chosen[good][:PIVOTS]
     if not len(pivots):
@@ -156,7 +156,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
         partners[c] = sorted(near)
     count = F.create_map(*(F.lit(x) for c, (parts, _) in cells.items() for x in (c, parts))) if cells else F.create_map(F.lit(0), F.lit(1))
     near = F.create_map(*(y for c, ds in partners.items() for y in (F.lit(c), F.array(*map(F.lit, ds))))) if cells else F.create_map(F.lit(0), F.array(F.lit(0)))
-    tiles = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.element_at(count, F.col("cell"))).cast("int"))
+    tiles = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.element_at(count, F.col("cell"))).cast("int"))
     tiles = tiles.groupBy("cell", "part").applyInArrow(_pack, "cell int, part int, ids binary, dims binary, data binary")
     pairs = tiles.withColumn("other", F.explode(F.element_at(near, F.col("cell")))).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.element_at(count, F.col("other")) - 1)))
     mine, theirs = F.struct("cell", "part"), F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
@@ -165,6 +165,6 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
 
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
     components = connected_components(found.where("b IS NOT NULL").select("a", "b"))
-    out = one.select("vec_id").join(links, F.col("vec_id") == F.col("a"), "left").join(components, F.col("vec_id") == F.col("id"), "left")
+    out = one.select("vec_id").distinct().join(links, F.col("vec_id") == F.col("a"), "left").join(components, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

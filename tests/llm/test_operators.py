@@ -401,6 +401,15 @@ def test_embeddings(spark):
     assert embedding_components(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """Each distinct vector of an id counts, whatever invalid ones it has beside."""
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    nan = [float("nan"), 0.0, 0.0]
+    rows = [(1, x), (2, x), (2, y), (2, y), (3, y), (4, z), (4, nan), (5, z), (5, [None, 1.0, 0.0]), (6, nan), (6, None), (7, [1.0, 1.0, 0.0]), (7, [1.0, 1.001, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (2, 1, False), 3: (1, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (0, 7, True)}
+
+
 # 8
 
 
