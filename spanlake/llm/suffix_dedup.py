@@ -4,18 +4,24 @@ Only suffixes at synchronising positions are sorted: the least hashed gram of ea
 place. Equal strings have the same one at the same offset, and about 2 / length of all positions are such. A suffix
 travels with what lies before it of the strings it stands for, so each string of `length` bytes is whole in one record.
 
-Each piece of a task's rows sorts its suffixes and cuts the run at sampled splitters; the parts are exchanged front-coded (what
+Each piece of a task's rows sorts its suffixes and cuts the run at splitters; the parts are exchanged front-coded (what
 a suffix shares with the one before is a number). A partition merges its runs with a loser tree that carries common prefix
-lengths, and never compares known prefixes again. Neighbours that share the gram form a group; within a group, equal
-strings are found by hash and confirmed byte by byte.
+lengths, and never compares known prefixes again; a run's next suffix is decoded as the tree asks for it.
 
-A string that a piece holds more than once leaves it once, so a passage in a third of all documents is a record a piece.
+The common prefixes decide. Two records match if what they share to the right of their positions, known from the merge, and what
+they share to the left make up `length` bytes; the bytes shared are those to be removed. Neighbours in the order of suffixes are joined to
+clusters at their common prefix, longest first; within a cluster records are in order of their left sides read backwards, so that a
+record's best partner to the left is a neighbour too.
+
+Records that a piece holds more than once leave it once, so a passage in a third of all documents is a record a piece.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
+import zlib
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,81 +29,47 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.arrays import byte_texts, equal_groups, mix, pieces, powers, runs, sliding_min
+from spanlake.llm.arrays import byte_texts, mix, pieces, runs, sliding_min
 from spanlake.llm.frames import column
 
-PIECE_BYTES = 2 << 20
-BUCKET_BYTES = 12 << 20
+PIECE_BYTES = 1 << 20
+BUCKET_BYTES = 6 << 20
 GRAM = 16
-SAMPLES = 32
-
+#: Sampled places a range of suffixes, and ranges at most; more buckets than that split ranges by the hash of a suffix's gram.
+SAMPLES, RANGES = 32, 2048
+#: Windows whose synchronising positions are found at once, and low bits of hashes that give way to places.
+BLOCK, PLACE_BITS = 1 << 20, np.uint64(21)
 
-class Prefixes:
-    """Hashes of any substrings of some bytes."""
 
-    def __init__(self, data: bytes):
-        self.n = len(data)
-        self._total = np.zeros(self.n + 1, dtype=np.uint64)
-        part = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-        part += np.uint64(1)
-        part *= powers(self.n + 1)[0][: self.n]
-        np.cumsum(part, out=self._total[1:])
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each run of GRAM bytes."""
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(np.uint64).ravel()
+    out = mix(eight[8:] ^ np.uint64(0xA0761D6478BD642F))
+    out += eight[:-8]
+    return mix(out)
 
-    def windows(self, width: int) -> np.ndarray:
-        if self.n < width:
-            return np.zeros(0, dtype=np.uint64)
-        out = self._total[width:] - self._total[:-width]
-        out *= powers(self.n + 1)[1][: len(out)]
-        return mix(out)
 
+def _windows(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text that have one synchronising position: first window, how many, that position, and the text's number.
 
-def repeated_windows(data: bytes, limits: np.ndarray, length: int, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: whether it lies in one text, whether its bytes start at another place too, whether an earlier one has them.
-
-    limits are the places where texts end. Equal hashes are confirmed by bytes, a run of neighbouring windows at a time.
+    limits are the places where texts end.
     """
-    hashes = prefixes.windows(length)
-    whole = np.zeros(len(hashes), dtype=bool)
-    at = 0
-    for end in limits.tolist():
-        whole[at : max(at, end - length + 1)] = True
-        at = end
-    twice, later = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=bool)
-    inside = np.flatnonzero(whole)
-    index, begins = equal_groups(hashes[inside])
-    if not len(index):
-        return whole, twice, later
-    index = inside[index]
-    head = index[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-    other = index != head
-    order = np.argsort(index[other])
-    i, h = index[other][order], head[other][order]
-    first = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(h) != 1)))
-    count = np.diff(np.append(first, len(i)))
-    odd = False
-    for a, b, n in zip(i[first].tolist(), h[first].tolist(), count.tolist()):
-        if data[a : a + n + length - 1] == data[b : b + n + length - 1]:
-            twice[a : a + n] = later[a : a + n] = True
-            twice[b : b + n] = True
-        else:
-            odd = True
-    if odd:  # different windows with one hash: settle all repeated hashes by bytes
-        twice[:] = later[:] = False
-        seen: dict[bytes, int] = {}
-        for a in np.sort(index).tolist():
-            b = seen.setdefault(data[a : a + length], a)
-            if b != a:
-                twice[a] = later[a] = twice[b] = True
-    return whole, twice, later
-
-
-def _anchors(prefixes: Prefixes, length: int) -> np.ndarray:
-    """The synchronising position of each window."""
-    grams = prefixes.windows(GRAM)
     reach = length - GRAM + 1
-    bits = np.uint64(int(len(grams)).bit_length())
-    ranked = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # ties of the kept bits go to the left
-    return (sliding_min(ranked, reach) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
+    out = []
+    for at in range(0, max(0, len(data) - length + 1), BLOCK):
+        upto = min(at + BLOCK, len(data) - length + 1)
+        hashes = _gram_hashes(data[at : upto + length - 1])
+        ranked = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)  # of equal ones the leftmost
+        anchor = (sliding_min(ranked, reach) & low).astype(np.int64) + at
+        window = np.arange(at, upto)
+        owner = np.searchsorted(limits, window, "right")
+        whole = window + length <= limits[owner]
+        breaks = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
+        first, count = runs(whole, breaks)
+        out.append((first + at, count, anchor[first], owner[first]))
+    empty = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (empty,) * 4
 
 
 def _shared(a: bytes, b: bytes, since: int = 0) -> int:
@@ -109,29 +81,65 @@ def _shared(a: bytes, b: bytes, since: int = 0) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def merged(texts: list[list[bytes]], shared: list[list[int]]):
-    """Merges sorted runs with a loser tree: yields (run, place in it, prefix shared with the string before).
+class Run:
+    """A sorted run of records, front-coded; holds one record at a time.
 
-    shared[r][k] is what texts[r][k] shares with texts[r][k - 1]. Each waiting string knows what it shares with the last winner: of two,
-    the one that shares more is less; only if they share the same are bytes compared, and those from there on.
+    A record is a suffix, what it shares with the one before, its left side read backwards, and its document and place.
+    """
+
+    def __init__(self, blob: bytes):
+        n = int.from_bytes(blob[:8], "little")
+        self._share, self._tail, self._left = (x.tolist() for x in np.frombuffer(blob, dtype=np.int32, count=3 * n, offset=8).reshape(3, n))
+        self._doc, self._place = (x.tolist() for x in np.frombuffer(blob, dtype=np.int64, count=2 * n, offset=8 + 12 * n).reshape(2, n))
+        self._blob, self._at, self._next = blob, 8 + 28 * n, 0
+        self.shared, self.text = 0, b""
+        self.advance()
+
+    @staticmethod
+    def packed(records: list[tuple[bytes, bytes, int, int]]) -> bytes:
+        """Sorted records as a run's bytes."""
+        share = [0, *(_shared(a[0], b[0]) for a, b in zip(records, records[1:]))][: len(records)]
+        tails = [r[0][h:] for r, h in zip(records, share)]
+        numbers = np.array([share, [len(t) for t in tails], [len(r[1]) for r in records]], dtype=np.int32)
+        places = np.array([[r[2] for r in records], [r[3] for r in records]], dtype=np.int64)
+        return b"".join([len(records).to_bytes(8, "little"), numbers.tobytes(), places.tobytes(), *(x for t, r in zip(tails, records) for x in (t, r[1]))])
+
+    def advance(self) -> None:
+        """On to the next record; text is None behind the last."""
+        k = self._next
+        if k == len(self._share):
+            self.text = None
+            return
+        at, tail, left = self._at, self._tail[k], self._left[k]
+        self.shared = self._share[k]
+        self.text = self.text[: self.shared] + self._blob[at : at + tail]
+        self.left = self._blob[at + tail : at + tail + left]
+        self.doc, self.place = self._doc[k], self._place[k]
+        self._at, self._next = at + tail + left, k + 1
+
+
+def merged(parts: list[Run]) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+    """Merges sorted runs with a loser tree: yields (prefix shared with the suffix before, suffix, left side, document, place).
+
+    Each waiting suffix knows what it shares with the last winner: of two, the one that shares more is less; only if they share the same are bytes
+    compared, and those from there on.
     """
     size = 1
-    while size < len(texts):
+    while size < len(parts):
         size *= 2
-    place = [0] * size
-    length = [len(t) for t in texts] + [0] * (size - len(texts))
+    parts = parts + [None] * (size - len(parts))
     known = [0] * size
     loser = [0] * size
 
     def play(a: int, b: int) -> tuple[int, int]:
         """(winner, loser); the loser's shared prefix becomes that with the winner."""
-        if place[b] >= length[b]:
+        if parts[b] is None or parts[b].text is None:
             return a, b
-        if place[a] >= length[a]:
+        if parts[a] is None or parts[a].text is None:
             return b, a
         if known[a] != known[b]:
             return (a, b) if known[a] > known[b] else (b, a)
-        x, y, since = texts[a][place[a]], texts[b][place[b]], known[a]
+        x, y, since = parts[a].text, parts[b].text, known[a]
         if x[since:] <= y[since:]:
             known[b] = _shared(x, y, since)
             return a, b
@@ -142,130 +150,114 @@ def merged(texts: list[list[bytes]], shared: list[list[int]]):
     for node in range(size - 1, 0, -1):
         winners[node], loser[node] = play(winners[2 * node], winners[2 * node + 1])
     winner = winners[1]
-    while place[winner] < length[winner]:
-        k = place[winner]
-        yield winner, k, known[winner]
-        place[winner] = k + 1
-        if k + 1 < length[winner]:
-            known[winner] = shared[winner][k + 1]
+    while parts and parts[winner] is not None and parts[winner].text is not None:
+        run = parts[winner]
+        yield known[winner], run.text, run.left, run.doc, run.place
+        run.advance()
+        known[winner] = run.shared
         node = (winner + size) // 2
         while node:
             winner, loser[node] = play(winner, loser[node])
             node //= 2
 
 
-def _spans(flags: np.ndarray, owner: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
-    """Runs of flagged windows as (doc_id, first byte, number of bytes); owner and start are of each window's text."""
-    at, count = runs(flags, np.append(True, owner[1:] != owner[:-1]) if len(owner) else None)
-    return pa.RecordBatch.from_arrays([pa.array(doc[owner[at]]), pa.array(start[at]), pa.array(count + length - 1)], names=["doc_id", "first", "n"])
+def matches(records: Iterable[tuple[int, bytes, bytes, int, int]], length: int) -> Iterator[tuple[int, int, int]]:
+    """(document, first byte, number of bytes) of what records share with others, `length` bytes or more.
 
-
-def _suffixes(data: bytes, limits: np.ndarray, length: int):
-    """Records of a piece: first window, number of windows, synchronising position; and what is repeated in it already."""
-    prefixes = Prefixes(data)
-    whole, twice, later = repeated_windows(data, limits, length, prefixes)
-    anchor = _anchors(prefixes, length)
-    owner = np.searchsorted(limits, np.arange(len(whole)), "right")
-    breaks = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])) if len(whole) else None
-    at, count = runs(whole & ~later, breaks)
-    return at, count, anchor[at], twice, owner
+    records come in order of their suffixes: (prefix shared with the one before, suffix, left side backwards, document, place).
+    """
+    spans, where, best = [], [], []
+    stack: list[tuple[int, list]] = []  # (prefix shared with the cluster below, its records by left side)
+
+    def join(above: list, below: list, prefix: int) -> list:
+        """Both clusters, all of whose records share the prefix; of the fewer each meets its neighbours among the others."""
+        few, many = sorted((above, below), key=len)
+        for one in few:
+            if len(one[0]) + prefix < length:
+                continue  # it shares too little with anything from here on
+            at = bisect_left(many, one)
+            for other in many[max(0, at - 1) : at + 1]:
+                left = _shared(one[0], other[0])
+                if prefix + left >= length:
+                    for i in (one[1], other[1]):
+                        if left > best[i]:  # else a longer prefix with as long a left side was found before
+                            best[i] = left
+                            spans.append((where[i][0], where[i][1] - left, prefix + left))
+            insort(many, one)
+        return many
+
+    for shared, _, left, doc, place in records:
+        while len(stack) > 1 and stack[-1][0] > shared:
+            prefix, above = stack.pop()
+            stack[-1] = (stack[-1][0], join(above, stack[-1][1], prefix))
+        if shared < GRAM:  # one cluster is left, that shares too little with what follows
+            yield from spans
+            for x in (spans, where, best, stack):
+                x.clear()
+        stack.append((shared, [(left, len(where))]))
+        where.append((doc, place))
+        best.append(-1)
+    while len(stack) > 1:
+        prefix, above = stack.pop()
+        stack[-1] = (stack[-1][0], join(above, stack[-1][1], prefix))
+    yield from spans
+
+
+def _packed_spans(spans) -> pa.RecordBatch:
+    numbers = np.array(spans, dtype=np.int64).reshape(-1, 3)
+    return pa.RecordBatch.from_arrays([pa.array(numbers[:, k]) for k in range(3)], names=["doc_id", "first", "n"])
+
+
+def _sorted_records(part: pa.RecordBatch, length: int) -> tuple[list, list]:
+    """A piece's distinct records in order, and the spans that it repeats itself."""
+    texts = byte_texts(part.column(1))
+    doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = b"".join(texts)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    limits = np.cumsum(sizes)
+    at, count, anchor, owner = _windows(np.frombuffer(data, dtype=np.uint8), limits, length)
+    places = anchor - (limits - sizes)[owner]
+    records = sorted((data[x:e], data[a:x][::-1], d, p) for a, x, e, d, p in zip(at.tolist(), anchor.tolist(), (at + count + length - 1).tolist(), doc[owner].tolist(), places.tolist()))
+    distinct, spans, alone = [], [], True
+    for one in records:
+        if distinct and distinct[-1][:2] == one[:2]:
+            again = (distinct[-1], one) if alone else (one,)
+            spans += [(d, p - len(left), len(left) + len(text)) for text, left, d, p in again]
+            alone = False
+        else:
+            distinct.append(one)
+            alone = True
+    shares = [0] + [_shared(a[0], b[0]) for a, b in zip(distinct, distinct[1:])]
+    spans += matches(((h, *r) for h, r in zip(shares, distinct)), length)
+    return distinct, spans
 
 
-def _runs(length: int, splitters: list[bytes]):
+def _runs(length: int, splitters: list[bytes], fan: int):
     def made(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for part in pieces(batches, "text", PIECE_BYTES):
             part = part.filter(pa.compute.and_(part.column(0).is_valid(), part.column(1).is_valid()))
-            texts = byte_texts(part.column(1))
-            doc = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data = b"".join(texts)
-            limits = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            if len(data) < length:
+            records, spans = _sorted_records(part, length)
+            parts: dict[int, list] = {}
+            for one in records:
+                bucket = bisect_right(splitters, one[0]) * fan + (zlib.crc32(one[0][:GRAM]) % fan if fan > 1 else 0)
+                parts.setdefault(bucket, []).append(one)
+            if not parts:
                 continue
-            begin = limits - np.array([len(t) for t in texts], dtype=np.int64)
-            at, count, anchor, twice, owner = _suffixes(data, limits, length)
-            ends = (at + count + length - 1).tolist()
-            suffix = [data[x:e] for x, e in zip(anchor.tolist(), ends)]
-            order = sorted(range(len(suffix)), key=suffix.__getitem__)
-            suffix = [suffix[i] for i in order]
-            order = np.array(order, dtype=np.int64)
-            at, anchor, owned = at[order], anchor[order], owner[at[order]] if len(at) else at
-            left = [data[a:x] for a, x in zip(at.tolist(), anchor.tolist())]
-            places = np.stack([doc[owned], at - begin[owned]]) if len(at) else np.zeros((2, 0), dtype=np.int64)
-            done = _spans(twice, owner, doc, np.arange(len(owner)) - begin[owner], length)
-            blob = squeeze.compress(b"".join(done.column(k).to_numpy().astype(np.int64).tobytes() for k in range(3))) if done.num_rows else None
-            cuts = [0] + [bisect.bisect_left(suffix, s) for s in splitters] + [len(suffix)]
-            rows = {"bucket": [], "run": [], "done": []}
-            for bucket, (p, q) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if p == q:
-                    continue
-                share = [0] + [_shared(a, b) for a, b in zip(suffix[p : q - 1], suffix[p + 1 : q])]
-                tails = [s[h:] for s, h in zip(suffix[p:q], share)]
-                numbers = np.array([share, [len(t) for t in tails], [len(x) for x in left[p:q]]], dtype=np.int64)
-                head = np.concatenate([numbers, places[:, p:q]]).tobytes()
-                rows["bucket"].append(bucket)
-                rows["run"].append(squeeze.compress(b"".join([(q - p).to_bytes(8, "little"), head, *tails, *left[p:q]])))
-                rows["done"].append(None if rows["done"] else blob)
-            if rows["bucket"]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["run"], pa.binary()), pa.array(rows["done"], pa.binary())], names=list(rows))
+            done = [None] * len(parts)
+            done[0] = squeeze.compress(np.array(spans, dtype=np.int64).tobytes()) if spans else None
+            blobs = [squeeze.compress(Run.packed(p)) for p in parts.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(blobs, pa.binary()), pa.array(done, pa.binary())], names=["bucket", "run", "done"])
 
     return made
 
 
-def _decoded(blob: bytes):
-    n = int.from_bytes(blob[:8], "little")
-    share, tails, lefts, doc, start = np.frombuffer(blob, dtype=np.int64, count=5 * n, offset=8).reshape(5, n)
-    at, text, before = 8 + 40 * n, [], b""
-    for h, t in zip(share.tolist(), tails.tolist()):
-        before = before[:h] + blob[at : at + t]
-        text.append(before)
-        at += t
-    left = []
-    for t in lefts.tolist():
-        left.append(blob[at : at + t])
-        at += t
-    return text, share.tolist(), left, doc, start
-
-
 def _merge(length: int):
     def merge(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        parts, out = [], []
-        for blob, done in zip(table.column("run").to_pylist(), table.column("done").to_pylist()):
-            parts.append(_decoded(expand.decompress(blob)))
-            if done:
-                numbers = np.frombuffer(expand.decompress(done), dtype=np.int64).reshape(3, -1)
-                out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in numbers], names=["doc_id", "first", "n"]))
-        texts, lefts = [p[0] for p in parts], [p[2] for p in parts]
-
-        def settle(group):
-            records = [lefts[r][k] + texts[r][k] for r, k in group]
-            limits = np.cumsum([len(x) for x in records], dtype=np.int64)
-            doc = np.array([parts[r][3][k] for r, k in group], dtype=np.int64)
-            start = np.array([parts[r][4][k] for r, k in group], dtype=np.int64)
-            data = b"".join(records)
-            _, twice, _ = repeated_windows(data, limits, length, Prefixes(data))
-            owner = np.searchsorted(limits, np.arange(len(twice)), "right")
-            begin = limits - np.array([len(x) for x in records], dtype=np.int64)
-            out.append(_spans(twice, owner, doc, start[owner] + np.arange(len(twice)) - begin[owner], length))
-
-        waiting, group, size = [], [], 0
-        for r, k, shared in merged(texts, [p[1] for p in parts]):
-            if shared < GRAM:
-                if len(group) > 1:
-                    waiting += group
-                    size += sum(len(texts[a][b]) + len(lefts[a][b]) for a, b in group)
-                    if size > PIECE_BYTES // 2:
-                        settle(waiting)
-                        waiting, size = [], 0
-                group = []
-            group.append((r, k))
-        if len(group) > 1:
-            waiting += group
-        if waiting:
-            settle(waiting)
-        if not out:
-            return pa.table({k: pa.array([], pa.int64()) for k in ("doc_id", "first", "n")})
+        out = [_packed_spans(np.frombuffer(expand.decompress(b.as_py()), dtype=np.int64)) for b in table.column("done") if b.is_valid]
+        parts = [Run(expand.decompress(b.as_py())) for b in table.column("run")]
+        out.append(_packed_spans(list(matches(merged(parts), length))))
         return pa.Table.from_batches(out)
 
     return merge
@@ -293,34 +285,26 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _sampled(length: int):
-    def sampled(batches):
-        for part in pieces(batches, "text", PIECE_BYTES):
-            texts = [t for t in byte_texts(part.column(1)) if t and len(t) >= length]
-            if not texts:
-                continue
-            data = b"".join(texts)
-            at, count, anchor, _, _ = _suffixes(data, np.cumsum([len(t) for t in texts], dtype=np.int64), length)
-            grams = [data[x : x + GRAM] for x in anchor.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary())], names=["gram"])
-
-    return sampled
+def _splitters(docs: DataFrame, size: int, ranges: int) -> list[bytes]:
+    """Grams that cut the suffixes into about `ranges` parts of like size: quantiles of those at SAMPLES places a range, spread evenly over all bytes."""
+    stride = max(GRAM, size // (ranges * SAMPLES))
+    last = F.length("text") - GRAM
+    offset = F.pmod(F.xxhash64("doc_id"), F.lit(stride)).cast("int")
+    places = docs.where(last >= offset).select("text", F.explode(F.sequence(offset, last, F.lit(stride))).alias("place"))
+    grams = places.select(F.substring(F.col("text").substr(F.col("place") + 1, F.lit(GRAM)).cast("binary"), 1, GRAM).alias("gram"))
+    found = sorted(bytes(r[0]) for r in grams.orderBy(F.xxhash64("gram")).limit(2 * ranges * SAMPLES).collect())
+    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
 
 
 def repeated_byte_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first, n): bytes covered by strings of `length` bytes that also start elsewhere; spans of a document can overlap."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
-    docs = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    docs = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
-    # splitters: of about SAMPLES synchronising grams a bucket, from whole documents chosen by hash
-    wanted = buckets * SAMPLES
-    every = max(1, int(size / length * 2 / wanted))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(_sampled(length), "gram binary")
-    grams = sorted(r[0] for r in chosen.orderBy(F.xxhash64("gram")).limit(2 * wanted).collect())
-    splitters = sorted({grams[len(grams) * k // buckets] for k in range(1, buckets)} if grams else set())
-    made = docs.mapInArrow(_runs(length, [bytes(s) for s in splitters]), "bucket long, run binary, done binary")
+    ranges = min(buckets, RANGES)
+    made = docs.mapInArrow(_runs(length, _splitters(docs, size, ranges), math.ceil(buckets / ranges)), "bucket long, run binary, done binary")
     return made.groupBy("bucket").applyInArrow(_merge(length), "doc_id long, first long, n long")
 
 
