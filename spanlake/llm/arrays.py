@@ -56,6 +56,19 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def short_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Like window_hashes, with a mixing step for each of a few values: no structure of a run carries over to its hash."""
+    n = len(values) - width + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        out *= np.uint64(_BASE)
+        out += values[k : k + n]
+        out = mix(out)
+    return out
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` consecutive values, by doubling."""
     have, out = 1, values
@@ -119,24 +132,43 @@ class Words:
         return self.raw[self.starts[first] : self.ends[first + count - 1]]
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, block by block, so that memory stays small."""
-        data = np.frombuffer(self.raw, dtype=np.uint8)
+        """A 64-bit hash of each word, a bounded part of them at a time: the sum of its 8-byte blocks, each mixed with its place and the word's length."""
+        data = np.frombuffer(self.raw + bytes(8), dtype=np.uint8)
         out = np.empty(len(self), dtype=np.uint64)
+        blocks = np.append(0, np.cumsum((self.ends - self.starts + 7) // 8))
         at = 0
         while at < len(self):
-            base = self.starts[at]
-            upto = max(at + 1, int(np.searchsorted(self.ends, base + _BLOCK, "right")))
-            up, down = powers(int(self.ends[upto - 1] - base) + 1)
-            part = data[base : self.ends[upto - 1]].astype(np.uint64)
-            part += np.uint64(1)
-            total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(part * up[: len(part)], out=total[1:])
-            a, b = self.starts[at:upto] - base, self.ends[at:upto] - base
-            out[at:upto] = mix((total[b] - total[a]) * down[a])
+            upto = max(at + 1, int(np.searchsorted(blocks, blocks[at] + _BLOCK // 8, "right")) - 1)
+            if upto == at + 1:
+                out[at] = _word_hash(data, int(self.starts[at]), int(self.ends[at]))
+            else:
+                n = self.ends[at:upto] - self.starts[at:upto]
+                first = blocks[at:upto] - blocks[at]
+                word = np.repeat(np.arange(upto - at), np.diff(blocks[at : upto + 1]))
+                block = np.arange(len(word)) - first[word]
+                out[at:upto] = mix(np.add.reduceat(_mixed_blocks(data, self.starts[at:upto][word] + 8 * block, n[word] - 8 * block, block, n[word]), first))
             at = upto
         return out
 
 
+def _mixed_blocks(data: np.ndarray, place: np.ndarray, left: np.ndarray, block: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Up to 8 bytes from each place, mixed with the block's number and the word's length."""
+    value = np.lib.stride_tricks.sliding_window_view(data, 8)[place].view(np.uint64).ravel()
+    unused = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
+    value = (value << unused) >> unused
+    key = block.astype(np.uint64) * np.uint64(_BASE) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(mix(value ^ np.uint64(0xA0761D6478BD642F)) ^ mix(key))
+
+
+def _word_hash(data: np.ndarray, start: int, end: int) -> np.uint64:
+    """The hash of one word, which can be very long."""
+    total = np.zeros(1, dtype=np.uint64)
+    for a in range(start, end, _BLOCK):
+        place = np.arange(a, min(end, a + _BLOCK), 8)
+        total += _mixed_blocks(data, place, end - place, (place - start) // 8, np.full(len(place), end - start)).sum(dtype=np.uint64)
+    return mix(total)[0]
+
+
 def words_of(texts: list[bytes]) -> Words:
     """Splits texts at white space; None counts as empty."""
     joined = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", dtype=np.uint8)

@@ -19,11 +19,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Null ends and loops are dropped; repeats and direction don't matter. Two star steps alternate: each id hands its least
     neighbour to its larger neighbours, then to its smaller ones and itself, until every component is a star; that takes about
-    the logarithm of the longest path. Least neighbours are partial minima, so an id with many links is a row a task. Each round
-    is checkpointed to the shared folder, and only whether another is due comes back to the driver.
+    the logarithm of the longest path. Least neighbours are partial minima, so an id with many links is a row a task; its edges meet it in a join that adaptive execution splits. Each round
+    is a table in the shared folder that replaces the last one's; only whether another is due comes back to the driver.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    edges = cut(edges)
+    table: list[str] = []
+    edges = cut(edges, table)
     while not _all_stars(edges):
         # large star: neighbours above an id join its least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,5 +33,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         # small star: neighbours below an id, and itself, join its least neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = cut(small)
+        edges = cut(small, table)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

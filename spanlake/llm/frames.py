@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The separators of `[^\x20\x09-\x0D]+`, as characters and as a Java pattern.
@@ -12,12 +13,40 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the folder that the session names; only where it names none is one set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, as the session names it in spark.checkpoint.dir.
+
+    A local session, as in tests, that names none gets a temporary folder; on a cluster that is an error, as executors don't share one.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp())
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, instead_of: list[str] | None = None) -> DataFrame:
+    """The rows as a table written to the shared folder, so that lost executors cost no recomputing beyond it.
+
+    instead_of holds the folder of the table that this one supersedes, if any: it is deleted, and the new one's is kept there.
+    """
+    spark = df.sparkSession
+    folder = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if instead_of is not None:
+        for old in instead_of:
+            drop(spark, old)
+        instead_of[:] = [folder]
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def column(name: str) -> Column:

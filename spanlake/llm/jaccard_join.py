@@ -14,7 +14,11 @@ one of the two holds. The universe of shingles is hashed into segments:
 A band takes the scheme that costs less: one deletion where a set has so few shingles that its segments hold four or five and
 chance matches would cost most, and exact elsewhere, as it has a fifth of the entries. Of sets that share an entry, pairs whose shingles fall too
 differently on the parts of the universe are dropped: the sum of their counts' differences bounds from below what only one holds. The others are
-compared by their shingles, in tiles of bounded size. Copies count once: a set is known by a 128-bit sum of its shingles.
+compared by their shingles, in tiles of bounded size; a link counts only once the words themselves confirm it. Copies count once: a set is
+known by a 128-bit BLAKE2 digest of its shingles' words.
+
+Many sets that share entries are first compared with a few pivots among them. Those that a pivot ties together need no further comparison with
+each other; only what is left over meets all others. So a group of near copies costs about its size, not its square.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.arrays import byte_texts, equal_groups, mix, pieces, window_hashes, words_of
+from spanlake.llm.arrays import Words, byte_texts, equal_groups, mix, pieces, short_hashes, words_of
 from spanlake.llm.components import connected_components
 from spanlake.llm.frames import column, cut
 
@@ -41,6 +45,10 @@ TILE_SETS, TILE_SHINGLES = 512, 2_000_000
 DELETE_TOP = 24
 #: Sets that share an entry up to which they are paired; more are laid out in tiles.
 PAIR_SETS = 48
+#: Members of a large group that all its others are compared with first.
+PIVOTS = 8
+#: Shingles whose words are held at once when a link is confirmed.
+CONFIRMED_SHINGLES = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,10 +56,15 @@ class Bands:
     """Size bands and their scheme for similarities of percent / 100 and more."""
 
     def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
         self.percent = percent
         tops = [0]
-        while tops[-1] < 1 << 31:
+        # at 100 only equal sets link, and those have one key: no band has entries
+        while tops[-1] < 1 << 31 and percent < 100:
             tops.append(max(tops[-1] + 1, tops[-1] * 100 // percent))
+        if percent == 100:
+            tops += [1 << 31, 1 << 32]
         self.tops = np.array(tops[1:], dtype=np.int64)
         self.differ = (100 - percent) * 2 * self.tops // (100 + percent)
         n, h = self.tops * (percent / 100) ** 2, self.differ
@@ -66,36 +79,51 @@ class Bands:
         self.segments = np.where(self.deletes, halves, exact)
 
 
-def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, one after the other in order, and where each text's begin."""
+def _spans_of(words: Words, a: int, b: int, width: int) -> int:
+    """How many words a shingle of a text with words a to b has: `width`, or all of a shorter text's."""
+    return min(width, b - a)
+
+
+def _sets(texts: list[bytes], width: int, keyed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, one after the other in order, where each text's begin, and with `keyed` each set's key.
+
+    A key is the digest of the words of all shingles in order of their hashes, as a row of two integers.
+    """
     words = words_of([(t or b"").translate(_LOWER) for t in texts])
     hashes = words.hashes()
-    grams = window_hashes(hashes, width)
-    out, sizes = [], []
+    grams = short_hashes(hashes, width)
+    out, sizes, keys = [], [], []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if b - a >= width:
-            one = np.unique(grams[a : b - width + 1])
-        elif b > a:
-            one = window_hashes(hashes[a:b], b - a) + np.uint64(b - a)
+        n = _spans_of(words, a, b, width)
+        mine = grams[a : b - width + 1] if n == width else short_hashes(hashes[a:b], n) if n else grams[:0]
+        if keyed:
+            one, at = np.unique(mine, return_index=True)
+            raw = words.raw
+            held = [raw[i:j] for i, j in zip(words.starts[a + at].tolist(), words.ends[a + at + n - 1].tolist())]
+            keys.append(hashlib.blake2b(b"\n".join(held), digest_size=16).digest())
         else:
-            one = grams[:0]
+            one = np.unique(mine)
         out.append(one)
         sizes.append(len(one))
     first = np.zeros(len(sizes) + 1, dtype=np.int64)
     np.cumsum(sizes, out=first[1:])
-    return np.concatenate(out) if out else grams[:0], first
-
+    return np.concatenate(out) if out else grams[:0], first, np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
 
-
-def _keys(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 16-byte key of each set, as rows of two integers."""
-    n = np.diff(first).astype(np.uint64)
-    return np.stack([mix(_sums(mix(tokens ^ np.uint64(salt)), first) + n) for salt in (0x51ED2701, 0x2545F491)], axis=1)
+def _confirmed(x: bytes, y: bytes, percent: int, width: int) -> bool:
+    """Whether two texts link, by their words, a bounded part of the shingles at a time."""
+    sides = []
+    for text in (x, y):
+        words = words_of([text.translate(_LOWER)])
+        n = _spans_of(words, 0, len(words), width)
+        sides.append((words, n, short_hashes(words.hashes(), n)))
+    parts = np.uint64(1 + sum(len(g) for _, _, g in sides) // CONFIRMED_SHINGLES)
+    shared = size = 0
+    for k in range(int(parts)):
+        a, b = ({w.slice(i, n) for i in np.flatnonzero(g % parts == k).tolist()} for w, n, g in sides)
+        shared += len(a & b)
+        size += len(a) + len(b)
+    return 100 * shared >= percent * (size - shared)
 
 
 def _key_array(keys: np.ndarray) -> pa.Array:
@@ -142,8 +170,8 @@ def _possible(percent: int):
 def _describe(width: int):
     def described(batches):
         for part in pieces(batches, "text", PIECE_BYTES):
-            tokens, first = _sets(byte_texts(part.column(1)), width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _key_array(_keys(tokens, first)), pa.array(_outlines(tokens, first), pa.binary())], names=["doc_id", "n", "key", "outline"])
+            tokens, first, keys = _sets(byte_texts(part.column(1)), width, keyed=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _key_array(keys), pa.array(_outlines(tokens, first), pa.binary())], names=["doc_id", "n", "key", "outline"])
 
     return described
 
@@ -197,8 +225,7 @@ def _index(width: int, bands: Bands, buckets: int):
     def indexed(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for part in pieces(batches, "text", PIECE_BYTES):
-            tokens, first = _sets(byte_texts(part.column(1)), width)
-            keys = _keys(tokens, first)
+            tokens, first, keys = _sets(byte_texts(part.column(1)), width, keyed=True)
             fresh = np.zeros(len(keys), dtype=bool)  # copies in one piece are indexed once
             fresh[np.unique(keys, axis=0, return_index=True)[1]] = True
             n = np.where(fresh, np.diff(first), 0)
@@ -224,10 +251,7 @@ def _index(width: int, bands: Bands, buckets: int):
 
 
 def _groups(percent: int):
-    """Sets that share an entry: pairs (key, other) of a small group, and the members of a large one, with its name, size and least node.
-
-    A set's node is a part of its key, as a number; two sets can have the same.
-    """
+    """Sets that share an entry: pairs (key, other) of a small group, and the members of a large one, with its name and size."""
 
     def grouped(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
@@ -263,18 +287,14 @@ def _groups(percent: int):
         pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
         first = np.concatenate([pairs[:, 0], *(s for _, s in large)])
         names = _key_array(keys)
-        node = keys[:, 0].view(np.int64)
         none = [None] * len(pairs)
         flat = lambda values: np.concatenate([np.zeros(0, dtype=np.int64), *(np.full(len(s), v) for v, (_, s) in zip(values, large))]).astype(np.int64).tolist()
         return pa.table(
             {
                 "key": names.take(pa.array(first)),
-                "node": node[first],
                 "other": pa.concat_arrays([names.take(pa.array(pairs[:, 1])), pa.nulls(len(first) - len(pairs), pa.binary())]),
-                "other_node": pa.array(node[pairs[:, 1]].tolist() + [None] * (len(first) - len(pairs)), pa.int64()),
                 "n": sizes[first],
                 "name": pa.array(none + flat([v for v, _ in large]), pa.int64()),
-                "least": pa.array(none + flat([node[s].min() for _, s in large]), pa.int64()),
                 "size": pa.array(none + flat([len(s) for _, s in large]), pa.int64()),
             }
         )
@@ -313,13 +333,14 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(percent: int, width: int):
-    """Links of a tile; of those, a forest that connects what they connect."""
+    """What the links of a tile connect: (a, b), b being the least id on side 0 that a is connected with."""
 
     def compared(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         rep = table.column("rep").to_numpy()
         expand = zstandard.ZstdDecompressor()
-        every, first = _sets([expand.decompress(t) for t in table.column("squeezed").to_pylist()], width)
+        texts = [expand.decompress(t) for t in table.column("squeezed").to_pylist()]
+        every, first, _ = _sets(texts, width)
         tokens = [every[a:b] for a, b in zip(first[:-1], first[1:])]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(right)
@@ -342,39 +363,70 @@ def _compare(percent: int, width: int):
                 x = parent[x]
             return x
 
-        out = []
         for i, j in zip(*(x.tolist() for x in np.nonzero(hit))):
             u, v = root(int(left[i])), root(int(right[j]))
-            if u != v:
+            if u != v and (rep[left[i]] == rep[right[j]] or _confirmed(texts[left[i]], texts[right[j]], percent, width)):
                 parent[u] = v
-                out.append((rep[left[i]], rep[right[j]]))
+        least: dict[int, tuple] = {}  # of each root, the least id on the left, or at all
+        for i in range(len(table)):
+            r = root(i)
+            least[r] = min(least.get(r, (2, 0)), (int(side[i]), int(rep[i])))
+        out = [(int(rep[i]), least[root(i)][1]) for i in range(len(table)) if rep[i] != least[root(i)][1]]
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return compared
 
 
-def _units(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, key, parts): sets to be compared with each other, and (node, component_id) of those units that are whole components.
+def _units(large: DataFrame) -> DataFrame:
+    """(unit, key, n, whole): sets to be compared with each other, of large groups (name, key, n, size).
 
-    One group of near copies makes many large groups, a segment each, of nearly the same sets. Large groups that hang together are one
-    unit if that costs less than each of them alone, going by squares of sizes; otherwise each is a unit.
+    One group of near copies makes many large groups, a segment each, of nearly the same sets. Groups that hang together become one unit, a whole one,
+    if that costs less than each of them alone, going by squares of sizes; otherwise each is a unit. A group hangs on the largest that any of its sets
+    is in; that this may not join all that overlap costs only time.
     """
-    large = cut(large)
-    if large.isEmpty():
-        spark = large.sparkSession
-        return spark.createDataFrame([], "unit long, key binary, parts long"), spark.createDataFrame([], "node long, component_id long")
-    found = connected_components(large.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    once = large.groupBy("node", "key").agg(F.max("n").alias("n"), F.sum("size").alias("alone"))
-    once = cut(once.join(found, F.col("node") == F.col("id")).select("component_id", "node", "key", "n", "alone"))
-    parts = lambda count, n: F.ceil(F.greatest(count / TILE_SETS, n / TILE_SHINGLES))
-    whole = once.groupBy("component_id").agg(F.count("*").alias("count"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
-    whole = cut(whole.select("component_id", parts(F.col("count"), F.col("n")).alias("parts"), (F.col("count") * F.col("count") <= F.col("alone")).alias("joined")))
-    together = once.join(whole.where("joined"), "component_id")
-    apart = large.join(once.join(whole.where("NOT joined").select("component_id"), "component_id").select("node").distinct(), "node")
-    sizes = apart.groupBy("name").agg(parts(F.count("*"), F.sum("n")).alias("parts"))
-    units = together.select(F.xxhash64("component_id").alias("unit"), "key", "parts").unionByName(apart.join(sizes, "name").select(F.col("name").alias("unit"), "key", "parts"))
-    return cut(units), cut(together.select("node", "component_id").distinct())
+    top = F.max(F.struct("size", "name")).over(Window.partitionBy("key"))  # a set is in no more groups than it has entries
+    large = large.withColumn("top", top)
+    label = large.groupBy("name").agg(F.max("top").alias("top")).select("name", F.col("top.name").alias("unit"))
+    large = cut(large.select("name", "key", "n", "size").join(label, "name"))
+    members = large.groupBy("unit", "key").agg(F.max("n").alias("n"), F.sum("size").alias("alone"))
+    whole = members.groupBy("unit").agg((F.count("*") * F.count("*") <= F.sum("alone")).alias("whole"))
+    joined = members.join(whole.where("whole"), "unit").select("unit", "key", "n", "whole")
+    apart = large.join(whole.where("NOT whole"), "unit").select(F.col("name").alias("unit"), "key", "n", "whole")
+    return cut(joined.unionByName(apart))
+
+
+def _parts(count, n):
+    """How many tiles' sides so many sets with so many shingles fill."""
+    return F.ceil(F.greatest(count / TILE_SETS, n / TILE_SHINGLES)).cast("long")
+
+
+def _numbers(upto):
+    return F.sequence(F.lit(0).cast("long"), upto - 1)
+
+
+def _with_pivots(units: DataFrame) -> DataFrame:
+    """(tile, side, key): every part of a unit, on side 1, and its pivots, on both, of (unit, key, n)."""
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key")).getField("key") for k in range(PIVOTS)]
+    facts = units.groupBy("unit").agg(_parts(F.count("*"), F.sum("n")).alias("parts"), F.array_distinct(F.array(*least)).alias("pivots")).where(F.size("pivots") > 1)
+    members = units.join(facts.select("unit", "parts"), "unit").select(F.xxhash64("unit", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("tile"), F.lit(1).alias("side"), "key")
+    pivots = facts.select("unit", "pivots", F.explode(_numbers(F.col("parts"))).alias("part")).select(F.xxhash64("unit", "part").alias("tile"), F.lit(0).alias("side"), F.explode("pivots").alias("key"))
+    return members.unionByName(pivots).unionByName(pivots.withColumn("side", F.lit(1)))
+
+
+def _left_over(settled: DataFrame) -> DataFrame:
+    """(tile, side, key): sets outside their unit's largest component, with each other and with those inside, of (unit, key, n, component)."""
+    by = settled.groupBy("unit", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    facts = by.groupBy("unit").agg(F.max(F.struct("count", "component", "n")).alias("bulk"), F.sum("count").alias("count"), F.sum("n").alias("n")).where("count > bulk.count")
+    facts = facts.select("unit", F.col("bulk.component").alias("bulk"), _parts(F.col("bulk.count"), F.col("bulk.n")).alias("bulk_parts"), _parts(F.col("count") - F.col("bulk.count"), F.col("n") - F.col("bulk.n")).alias("parts"))
+    sets = settled.join(facts, "unit").withColumn("inside", F.col("component") == F.col("bulk"))
+    sets = sets.withColumn("part", F.pmod(F.xxhash64("key"), F.when(F.col("inside"), F.col("bulk_parts")).otherwise(F.col("parts"))))
+    loose = sets.where("NOT inside")
+    among = loose.withColumn("meets", F.explode(_numbers(F.col("parts"))))
+    among = among.select(F.xxhash64("unit", F.least("part", "meets"), F.greatest("part", "meets"), F.lit("among")).alias("tile"), (F.col("part") > F.col("meets")).cast("int").alias("side"), "key")
+    out = loose.withColumn("meets", F.explode(_numbers(F.col("bulk_parts")))).select(F.xxhash64("unit", "part", "meets", F.lit("out")).alias("tile"), F.lit(0).alias("side"), "key")
+    bulk = sets.where("inside").withColumn("meets", F.explode(_numbers(F.col("parts")))).select(F.xxhash64("unit", "meets", "part", F.lit("out")).alias("tile"), F.lit(1).alias("side"), "key")
+    return among.unionByName(out).unionByName(bulk)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,27 +449,30 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     entries = known.mapInArrow(_index(width, Bands(percent), buckets), "bucket long, entries binary, counts binary, sets binary")
-    schema = "key binary, node long, other binary, other_node long, n long, name long, least long, size long"
+    schema = "key binary, other binary, n long, name long, size long"
     groups = cut(entries.groupBy("bucket").applyInArrow(_groups(percent), schema).distinct())
-    units, joined = _units(groups.where("name IS NOT NULL"))
+    units = _units(groups.where("name IS NOT NULL").select("name", "key", "n", "size"))
+    both = groups.where("name IS NULL").select("key", "other")
+    both = both.join(sets.select("key", "of.n", "of.outline"), "key").join(sets.select(F.col("key").alias("other"), F.col("of.n").alias("other_n"), F.col("of.outline").alias("other_outline")), "other")
+    pairs = cut(both.select("key", "other", "n", "other_n", "outline", "other_outline").mapInArrow(_possible(percent), "key binary, other binary"))
+    wanted = units.select("key").unionByName(pairs.select("key")).unionByName(pairs.select(F.col("other").alias("key"))).distinct().join(reps, "key")
+    texts = cut(known.mapInArrow(_squeezed, "doc_id long, squeezed binary").join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id").select("key", "rep", "squeezed"))
+    links_of = lambda tiles: tiles.join(texts, "key").select("tile", "side", "rep", "squeezed").groupBy("tile").applyInArrow(_compare(percent, width), "a long, b long")
+
+    # each unit with its pivots; then what these don't tie to the unit's largest component meets all of the unit
+    tied = cut(links_of(_with_pivots(units)))
+    homes = units.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("unit"))).alias("home"))
+    labels = cut(homes.join(reps, "key").join(tied.groupBy("a").agg(F.min("b").alias("b")), F.col("rep") == F.col("a"), "left").select("key", "home", F.coalesce("b", "rep").alias("component")))
+    tiles = _left_over(cut(units.join(labels.select("key", "component"), "key")))
 
     # a pair goes to its first set's tile; sets with many pairs have several tiles
-    pairs = groups.where("name IS NULL").select("key", "node", "other", "other_node")
-    mine, theirs = joined.select("node", F.col("component_id").alias("mine")), joined.select(F.col("node").alias("other_node"), F.col("component_id").alias("theirs"))
-    pairs = pairs.join(mine, "node", "left").join(theirs, "other_node", "left").where("NOT coalesce(mine = theirs, false)")
-    pairs = pairs.join(sets.select("key", "of.n", "of.outline"), "key").join(sets.select(F.col("key").alias("other"), F.col("of.n").alias("other_n"), F.col("of.outline").alias("other_outline")), "other")
-    pairs = cut(pairs.select("key", "other", "n", "other_n", "outline", "other_outline").mapInArrow(_possible(percent), "key binary, other binary"))
+    mine, theirs = (labels.select(F.col("key").alias(k), F.struct("home", "component").alias(v)) for k, v in (("key", "mine"), ("other", "theirs")))
+    pairs = pairs.join(mine, "key", "left").join(theirs, "other", "left")
+    pairs = cut(pairs.where("NOT coalesce(mine.component = theirs.component, false) AND NOT coalesce(mine.home = theirs.home, false)").select("key", "other"))
     fans = pairs.groupBy("key").agg(F.ceil(F.count("*") / TILE_SETS).alias("fan"))
     pairs = pairs.join(fans, "key").withColumn("tile", F.xxhash64("key", F.pmod(F.xxhash64("other"), F.col("fan"))))
-
-    # every two members of a unit meet in a tile of two of its parts, or of one
-    units = units.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = units.select(F.xxhash64("unit", F.least("part", "meets"), F.greatest("part", "meets")).alias("tile"), (F.col("part") > F.col("meets")).cast("int").alias("side"), "key")
     tiles = tiles.unionByName(pairs.select("tile", F.lit(0).alias("side"), "key").distinct()).unionByName(pairs.select("tile", F.lit(1).alias("side"), F.col("other").alias("key")))
-
-    wanted = tiles.select("key").distinct().join(reps, "key")
-    texts = known.mapInArrow(_squeezed, "doc_id long, squeezed binary").join(wanted.select(F.col("rep").alias("doc_id"), "rep", "key"), "doc_id")
-    links = tiles.join(texts, "key").select("tile", "side", "rep", "squeezed").groupBy("tile").applyInArrow(_compare(percent, width), "a long, b long")
+    links = links_of(tiles).unionByName(tied)
     # rows that share a doc_id and not the set tie what the sets are known by
     several = rows.where("n > 0").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
     links = links.unionByName(rows.where("n > 0").join(several, "doc_id").join(reps, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
