@@ -1,9 +1,10 @@
 """Mixing sources to target weights in fixed-length token blocks, with DataFrame functions only.
 
 Each source's documents, in a pseudorandom order, are one long row of words cut into blocks of `block` words (the last can
-be shorter). Every output shard draws how many of its slots each source gets: a multinomial draw of low variance, one random
-offset a shard, so that each count is off its mean by less than one. A source's slots, numbered over all shards, go through
-a pseudorandom permutation of its block indices, a new one each time round; blocks are joined by index.
+be shorter). A source's target fixes how many slots it gets in all; on which output shard each of them falls is an independent
+uniform draw by hash. So the counts of a source over the shards are multinomial, and a shard's counts over the sources are a multinomial draw
+conditioned on the sources' totals: the mix is random by shard, and still meets its targets. A source's slots, numbered over all
+shards, go through a pseudorandom permutation of its block indices, a new one each time round; blocks are joined by index.
 """
 
 from __future__ import annotations
@@ -64,6 +65,11 @@ def _hash(text_col: str) -> Column:
 class Mixture:
     """The parts of one mix; each is a DataFrame.
 
+    A text's size is its number of words; null and empty texts have 0 and are never taken. Null is a source of its own, the last by order. Null and
+    repeated ids are rows like others, and repeated rows are each a row: all of them have places of their own in their source. Ties in the
+    pseudorandom order go by id, size and text. Only the id, text and source columns are read, so others may have any names. An empty table
+    has no rows in any part.
+
     documents: (doc_id, rank, source, source_size, target, size, hash, begin), hash being the text's and begin the row's place in its source;
     slots: (shard, slot, rank, index), a block index for each slot of the output.
     """
@@ -76,12 +82,12 @@ class Mixture:
         n_rows = sized.count()
 
         groups = max(64, math.ceil(n_rows / GROUP_ROWS))
-        placed = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
+        placed = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", "hash", F.lit(seed)), F.lit(groups)))
         sums = placed.groupBy("source", "group").agg(F.sum("size").alias("sum"))
         over = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("source", "group", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("base"))
         sums = sums.join(sources, sums["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-        running = F.sum("size").over(Window.partitionBy("source", "group").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, 0))
+        running = F.sum("size").over(Window.partitionBy("source", "group").orderBy(F.xxhash64("doc_id", "hash", F.lit(seed + 1)), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, 0))
         placed = placed.withColumn("end", running)
         same = placed["source"].eqNullSafe(sums["source"]) & (placed["group"] == sums["group"])
         self.documents = placed.join(sums, same).select("doc_id", "rank", placed["source"], "source_size", "target", "size", "hash", (F.col("base") + F.col("end") - F.col("size")).alias("begin"))
@@ -92,23 +98,19 @@ class Mixture:
         n_slots = max(1, round(total))
         per_shard = max(shard_slots, math.ceil(n_slots / MAX_SHARDS))
         shards = math.ceil(n_slots / per_shard)
-        upto = F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) / F.lit(max(total, 1e-9))
-        drawn = drawn.withColumn("upto", F.when(F.row_number().over(Window.orderBy(F.desc("rank"))) == 1, F.lit(1.0)).otherwise(upto))
-        drawn = drawn.withColumn("since", F.coalesce(F.lag("upto").over(Window.orderBy("rank")), F.lit(0.0)))
-        counts = drawn.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        offset = F.pmod(F.xxhash64("shard", F.lit(seed + 2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        size = F.when(F.col("shard") == shards - 1, F.lit(n_slots - (shards - 1) * per_shard)).otherwise(F.lit(per_shard))
-        n = F.ceil(size * F.col("upto") - offset) - F.ceil(size * F.col("since") - offset)
-        counts = counts.withColumn("n", n.cast("long")).where("n > 0")
+        # a few rows stand for all slots: they are dealt out in stretches before each slot gets its row
+        drawn = drawn.withColumn("slots", F.least(F.round("slots").cast("long"), F.col("blocks") * most)).where("slots > 0")
+        balls = drawn.withColumn("since", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(STRETCH).cast("long")))).repartition("rank", "since")
+        balls = balls.select("rank", "blocks", F.explode(F.sequence("since", F.least("slots", F.col("since") + STRETCH) - 1)).alias("ball"))
+        counts = balls.groupBy("rank", "blocks", F.pmod(F.xxhash64("rank", "ball", F.lit(seed + 2)), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
         counts = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        #: How many slots of each shard each source gets.
+        #: How many slots of each shard each source gets, and how many it has in the shards before.
         self.counts = counts.select("shard", "rank", "n", "first", "blocks")
-        # a few rows stand for all slots: they are dealt out in stretches before each slot gets its row
         stretch = self.counts.withColumn("since", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
         stretch = stretch.repartition("shard", "rank", "since")
         upto = F.least(F.col("n"), F.col("since") + STRETCH) - 1
         each = stretch.select("*", F.explode(F.sequence("since", upto)).alias("k"))
-        each = each.withColumn("j", F.col("first") + F.col("k")).where(F.col("j") < F.col("blocks") * most)
+        each = each.withColumn("j", F.col("first") + F.col("k"))
         index = F.expr(_permuted("(j % blocks)", "blocks", f"rank, j div blocks, {seed}"))
         self.slots = each.select("shard", "rank", F.xxhash64("rank", "j", F.lit(seed + 3)).alias("slot"), index.alias("index"))
 
