@@ -1,9 +1,12 @@
-"""Documents that contain benchmark items, with DataFrame functions only.
+"""Documents that contain benchmark items, by size-partitioned MinHash containment search, with DataFrame functions only.
 
-An item's sketch is the bottom-k MinHash of its shingles. Items are partitioned by size, and the size sets k: of n shingles
-the floor((1 - threshold) * n) + 1 with the least hashes. A document that holds the threshold's share of an item misses
-fewer than that many of its shingles, so it holds one of the sketch; no such document is missed, however long it is.
-Banded MinHash signatures can't do this: a short item in a long document has a Jaccard similarity near 0.001.
+Items are partitioned by the size n of their shingle set, at powers of two. Each partition has a hash limit, and a sketch of an item or a document
+there is the MinHash sample of its shingles: those that hash to the limit or less. A document with the threshold's share of an item
+lacks floor((1 - threshold) * n) of its shingles at most; the limit is the least at which every item of the partition has more than
+that in its sketch. So a document that contains an item shares at least (size of the item's sketch) - floor((1 - threshold) * n)
+hashes, one or more, with the item's sketch, and this bound, with that on the document's size, finds candidates. None is missed, however long the
+document is; exact containment of the words follows. Signatures of a fixed length can't do this: a short item in a long
+document has a Jaccard similarity near 0.001.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ BROADCAST_ROWS = 500_000
 
 
 def item_sketches(items: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(item_id, n, hash): of each item's n distinct shingles, those of the sketch."""
-    hashes = items.select("item_id", "words").select("item_id", F.array_distinct(shingle_hashes("words", width)).alias("hashes"))
-    k = F.floor(F.size("hashes") * F.lit(1 - threshold) + F.lit(1e-9)).cast("int") + 1
-    sketch = F.slice(F.array_sort("hashes"), F.lit(1), k)
-    return hashes.select("item_id", F.size("hashes").alias("n"), F.explode_outer(sketch).alias("hash")).where("hash IS NOT NULL")
+    """(item_id, n, hash, limit, needed) of items (item_id, words): each hash of an item's sketch, the partition's limit and how many of the sketch a document must share."""
+    hashes = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes("words", width))).alias("hashes")).where("size(hashes) > 0")
+    lacking = F.floor(F.size("hashes") * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+    sized = hashes.select("item_id", "hashes", F.size("hashes").alias("n"), lacking.alias("lacking"), F.floor(F.log2(F.size("hashes"))).alias("band"))
+    limits = sized.groupBy("band").agg(F.max(F.get("hashes", F.col("lacking"))).alias("limit"))  # a row a power of two
+    sketch = F.filter("hashes", lambda h: h <= F.col("limit"))
+    sized = sized.join(F.broadcast(limits), "band").withColumn("sketch", sketch)
+    return sized.select("item_id", "n", "limit", (F.size("sketch") - F.col("lacking")).alias("needed"), F.explode_outer("sketch").alias("hash"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,13 +42,18 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     docs = docs.select(column(id_col).cast("long").alias("doc_id"), F.lower(column(text_col)).alias("text")).where("doc_id IS NOT NULL")
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.lower("text")).alias("words")).where("item_id IS NOT NULL")
-    sketches = cut(item_sketches(items, width, threshold))
+    sketches = cut(item_sketches(items, width, threshold))  # repeated ids have a sketch each; the least of their bounds counts
     if sketches.count() <= BROADCAST_ROWS:
         sketches = F.broadcast(sketches)
-    hashes = split.select("doc_id", shingle_hashes("words", width).alias("hashes"))
+    # a document's sketch under the largest of the limits; its hashes beyond an item's own limit meet no hash of the item's sketch
+    limit = sketches.agg(F.max("limit")).first()[0]
+    hashes = split.select("doc_id", F.array_distinct(shingle_hashes("words", width)).alias("hashes"))
+    sampled = hashes.select("doc_id", F.size("hashes").alias("m"), F.filter("hashes", lambda h: h <= F.lit(limit).cast("long")).alias("hashes"))
     # explode_outer, here and above: explode's own filter on size would be pushed below and compute the words for each shingle
-    each = hashes.select("doc_id", F.size("hashes").alias("m"), F.explode_outer("hashes").alias("hash"))
-    pairs = each.join(sketches, "hash").where(F.col("m") >= F.col("n") * F.lit(threshold) - F.lit(1e-9)).select("doc_id", "item_id").distinct()
+    each = sampled.select("doc_id", "m", F.explode_outer("hashes").alias("hash"))
+    shared = each.join(sketches, "hash").where(F.col("m") >= F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    # rows that share an id count together here, which only adds candidates
+    pairs = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("doc_id", "item_id")
 
     own = items.select("item_id", F.array_distinct(shingles("words", width)).alias("item"))
     found = docs.join(pairs, "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("words")).join(own, "item_id")
