@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from spanlake.sources.schemas import DEPTH
+
 
 def _number(text: Column) -> Column:
     """Doubles as short text: a trailing .0 goes."""
@@ -20,21 +22,56 @@ def scalar_text(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["boolValue"], value["intValue"], _number(value["doubleValue"]), value["bytesValue"])
 
 
-def value_text(value: Column) -> Column:
-    """An attribute value as text: arrays as [a,b] without quotes, nested lists as `kvlist`, nothing as empty text."""
-    items = value["arrayValue"]["values"]
-    array = F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: F.coalesce(scalar_text(v), F.lit(""))), ","), F.lit("]"))
+def _bound(value: Column, f) -> Column:
+    """f(value), value being computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def value_text(value: Column, depth: int = DEPTH) -> Column:
+    """An attribute value as text: arrays as [a,b] without quotes, lists of pairs as `kvlist`, nothing as empty text. Below DEPTH arrays are as they came."""
+    if depth:
+        items = value["arrayValue"]["values"]
+        array = F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: value_text(v, depth - 1)), ","), F.lit("]")))
+    else:
+        array = value["arrayValue"]
     kvlist = F.when(value["kvlistValue"].isNotNull(), "kvlist")
-    return F.coalesce(scalar_text(value), F.when(items.isNotNull(), array), kvlist, F.lit(""))
+    return F.coalesce(scalar_text(value), array, kvlist, F.lit(""))
+
+
+def _quoted(text: Column) -> Column:
+    """Text as a JSON string."""
+    inside = F.to_json(F.array(text))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def value_json(value: Column, depth: int = DEPTH) -> Column:
+    """An attribute value as JSON text: numbers and booleans bare, bytes as the base64 they came in, arrays and objects nested; null if nothing is set."""
+    if depth:
+        items, pairs = value["arrayValue"]["values"], value["kvlistValue"]["values"]
+        none = F.lit("null")
+        array = F.when(items.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: F.coalesce(value_json(v, depth - 1), none)), ","), F.lit("]")))
+        member = lambda p: F.concat(_quoted(p["key"]), F.lit(":"), F.coalesce(value_json(p["value"], depth - 1), none))
+        pairs = F.when(pairs.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, member), ","), F.lit("}")))
+    else:
+        array, pairs = value["arrayValue"], value["kvlistValue"]
+    text = lambda name: F.when(value[name].isNotNull(), _quoted(value[name]))
+    return F.coalesce(text("stringValue"), F.lower(value["boolValue"]), value["intValue"], value["doubleValue"], array, pairs, text("bytesValue"))
+
+
+def last_of_each(pairs: Column) -> Column:
+    """Pairs without those whose key comes again; by key, sorted."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.named_struct(F.lit("key"), p["key"], F.lit("at"), i, F.lit("value"), p["value"])))
+    last = lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["key"] != p["key"], F.lit(True)))
+    return F.transform(_bound(placed, last), lambda p: F.named_struct(F.lit("key"), p["key"], F.lit("value"), p["value"]))
 
 
 def attribute_map(attributes: Column) -> Column:
     """Attributes with text as a map; the last of repeated keys counts, entries with empty text are dropped, no entries give null."""
     pairs = F.filter(F.transform(attributes, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("value"), value_text(a["value"]))), lambda p: (p["value"] != "") & p["key"].isNotNull())
-    # whatever the session's policy for repeated keys: of each key the last entry
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = F.transform(keys, lambda k: F.named_struct(F.lit("key"), k, F.lit("value"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
-    return F.when(F.size(pairs) > 0, F.map_from_entries(last))
+    keys = lambda p: F.transform(p, lambda x: x["key"])
+    # whatever the session's policy for repeated keys
+    unique = lambda p: F.when(F.size(F.array_distinct(keys(p))) == F.size(p), p).otherwise(last_of_each(p))
+    return _bound(pairs, lambda p: F.when(F.size(p) > 0, F.map_from_entries(unique(p))))
 
 
 def nanos(value: Column) -> Column:
@@ -44,7 +81,7 @@ def nanos(value: Column) -> Column:
 
 def event_time(unix_nano: Column) -> Column:
     """Nanoseconds since the epoch as a timestamp, to the microsecond."""
-    return F.timestamp_micros(F.floor(unix_nano / 1000).cast("bigint"))
+    return F.timestamp_micros(F.call_function("div", unix_nano, F.lit(1000)))  # / would go through doubles, which don't hold nanoseconds
 
 
 def rfc3339(unix_nano: Column) -> Column:

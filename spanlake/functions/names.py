@@ -52,6 +52,34 @@ def tenant(*candidates: Column, default: str = "default") -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in candidates), F.lit(default))
 
 
+# The forms of topics and of node names that hold a client, and first parts of topics that are none.
+TOPIC_CLIENTS = (r"^opentelemetry-traces-(.*)$", r"^traces-(.*)$", r"^(.*)-traces$", r"^(?!(?:v6|opentelemetry|otel|traces|metrics|logs)\.)([^.]*)\.")
+NODE_CLIENTS = (r"^ingest(?:ion)?-([^-]*)-.+$", r"^(.*)$")
+
+
+def _first_match(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
+
+
+def tenant_cascade(metadata: Column, positions: tuple[tuple[str, int], ...] = (), default: str = "default") -> Column:
+    """A message's tenant from its metadata, a map, the first that is not empty: client_name as a header or by itself; tenant, unless it is `default`;
+    account_key; what the topic tells, by (pattern, position) as in topic_matches() first and then by TOPIC_CLIENTS; index_name; the
+    client in source_node, or all of it; else the default."""
+    entry = lambda name: F.nullif(F.trim(F.try_element_at(metadata, F.lit(name))), F.lit(""))
+    topic = F.coalesce(*map(entry, ("topic", "kafka_topic", "header.topic", "header.kafka_topic")))
+    placed = [F.when(topic_matches(topic, pattern), F.get(F.split(topic, r"\."), F.lit(position))) for pattern, position in positions]
+    return tenant(entry("header.client_name"), entry("client_name"), F.nullif(entry("tenant"), F.lit("default")), entry("account_key"), *placed, _first_match(topic, TOPIC_CLIENTS), entry("index_name"), _first_match(entry("source_node"), NODE_CLIENTS), default=default)
+
+
+#: Resource attributes that name an index, in this order.
+INDEX_ATTRIBUTES = ("index.name", "service.namespace", "customer.name", "service.name")
+
+
+def index_cascade(named: Column, resource: Column, default: str = "default") -> Column:
+    """The index of a payload: the name that it gives itself, else the first of INDEX_ATTRIBUTES that its resource has, else the default."""
+    return tenant(named, *(F.try_element_at(resource, F.lit(k)) for k in INDEX_ATTRIBUTES), default=default)
+
+
 def severity(text: Column) -> Column:
     """Upper case; WARNING is WARN, CRITICAL is FATAL."""
     up = F.upper(text)
@@ -80,5 +108,16 @@ def hour_path(at: Column) -> Column:
     return F.date_format(at, "'year='yyyy'/month='MM'/day='dd'/hour='HH")
 
 
-def partition_key(at: Column) -> Column:
-    return F.coalesce(F.date_format(at, "yyyy-MM-dd-HH"), F.lit("unknown"))
+def partition_key(at: Column, level: str = "hour") -> Column:
+    """The partition of a time: its hour or its day; `unknown` without one."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd-HH" if level == "hour" else "yyyy-MM-dd"), F.lit("unknown"))
+
+
+def day_of(key: Column) -> Column:
+    """The day's partition that an hour's belongs to; a day's own is itself."""
+    return F.regexp_replace(key, r"^(\d{4}-\d{2}-\d{2})-\d{2}$", "$1")
+
+
+def level_of(key: Column) -> Column:
+    """hour or day, by a partition's key; null for neither."""
+    return F.when(key.rlike(r"^\d{4}-\d{2}-\d{2}-\d{2}$"), "hour").when(key.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day")

@@ -44,6 +44,17 @@ def unindexed(files: DataFrame, artifacts: DataFrame, limit: int = 100) -> DataF
     return files.join(artifacts.select("file_ulid").distinct(), "file_ulid", "left_anti").orderBy("created_at", "file_ulid").limit(limit)
 
 
+def not_indexed(files: DataFrame, tenant: str, signal: str, limit: int = 100) -> DataFrame:
+    """A tenant's files of a signal that no index run has marked, oldest first."""
+    return files.where((F.col("tenant") == tenant) & (F.col("signal") == signal) & F.col("indexed_at").isNull()).orderBy("created_at", "file_ulid").limit(limit)
+
+
+def index_stats(artifacts: DataFrame) -> DataFrame:
+    """(artifact_type, artifacts, files, documents, bytes, mean_build_seconds) of artifacts (artifact_type, file_ulid, document_count, size_bytes, build_seconds)."""
+    by = artifacts.groupBy("artifact_type", "file_ulid").agg(F.count("*").alias("n"), F.sum("document_count").alias("d"), F.sum("size_bytes").alias("b"), F.sum("build_seconds").alias("s"))
+    return by.groupBy("artifact_type").agg(F.sum("n").alias("artifacts"), F.count("*").alias("files"), F.sum("d").alias("documents"), F.sum("b").alias("bytes"), (F.sum("s") / F.sum("n")).alias("mean_build_seconds"))
+
+
 def coverage(files: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(kind, level, id): published snapshots, day before hour before delta and newest first, then files that none of them covers."""
     published = snapshots.where("published_at IS NOT NULL")
@@ -55,9 +66,11 @@ def coverage(files: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def storage_stats(partitions: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row: partitions, segments, rows and bytes; partitions without segments count."""
-    joined = partitions.select("partition_id").join(segments.select("partition_id", "segment_id", "row_count", "size_bytes"), "partition_id", "left")
-    return joined.agg(F.countDistinct("partition_id").alias("partitions"), F.countDistinct("segment_id").alias("segments"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    """One row: partitions, segments of these, their rows and bytes; partitions without segments count. Segment ids are unique within a partition's."""
+    kept = partitions.select("partition_id").distinct()
+    sums = segments.groupBy("partition_id").agg(F.count_distinct("segment_id").alias("segments"), F.sum("row_count").alias("rows"), F.sum("size_bytes").alias("bytes"))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    return kept.join(sums, "partition_id", "left").agg(F.count("*").alias("partitions"), total("segments"), total("rows"), total("bytes"))
 
 
 def partition_counters(segments: DataFrame) -> DataFrame:
@@ -86,10 +99,15 @@ def next_offsets(messages: DataFrame) -> DataFrame:
     return messages.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
 
 
-def field_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, cardinality, null_count, min, max, avg_size), values as text; cardinality is approximate."""
+def field_stats(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
+    """(field, cardinality, null_count, min, max, avg_size), values as text; cardinality is approximate unless exact."""
     each = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in columns))))
-    return each.groupBy("field").agg(F.approx_count_distinct("v").alias("cardinality"), F.count_if(F.col("v").isNull()).alias("null_count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg(F.length("v")).alias("avg_size"))
+    if not exact:
+        return each.groupBy("field").agg(F.approx_count_distinct("v").alias("cardinality"), F.count_if(F.col("v").isNull()).alias("null_count"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg(F.length("v")).alias("avg_size"))
+    values = each.groupBy("field", "v").agg(F.count("*").alias("n"))
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    sizes = F.try_divide(F.sum(F.length("v") * F.col("n")), F.sum(known)).cast("double")
+    return values.groupBy("field").agg(F.count("v").alias("cardinality"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.min("v").alias("min"), F.max("v").alias("max"), sizes.alias("avg_size"))
 
 
 def trace_tree(spans: DataFrame) -> DataFrame:

@@ -96,6 +96,19 @@ class LessThan(Filter):
         return F.col(self.field) < F.lit(self.value)
 
 
+@dataclass
+class Between(Filter):
+    """From low to high, ends included."""
+
+    field: str
+    low: Any
+    high: Any
+    rank = 9
+
+    def column(self) -> Column:
+        return F.col(self.field).between(F.lit(self.low), F.lit(self.high))
+
+
 @dataclass
 class Contains(Filter):
     """mode token: every token of the value is a token of the field; mode substring: the value occurs, case ignored."""

@@ -11,21 +11,27 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.operators.filters import And, Equals, Filter, GreaterThan, In, LessThan
+from spanlake.operators.filters import And, Between, Equals, Filter, GreaterThan, In, LessThan, Or
 
 BLOOM_FPR = 0.005
 
 
-def zone_map(df: DataFrame, file: Column, columns: list[str]) -> DataFrame:
-    """(file, column, min, max, null_count, row_count); numbers and times as doubles in *_number, texts in *_text."""
+def zone_map(df: DataFrame, file: Column, columns: list[str], block: Column | None = None) -> DataFrame:
+    """(file, column, min, max, null_count, row_count); numbers and times as doubles in *_number, texts in *_text.
+
+    With block, such as a row's place in its file by some number of rows, there is a row for each block and column, with `block`.
+    """
     parts = []
+    kinds = dict(df.dtypes)
     for name in columns:
-        kind = dict(df.dtypes)[name]
+        kind = kinds[name]
         number = F.unix_micros(F.col(name).cast("timestamp")).cast("double") if kind.startswith("timestamp") or kind == "date" else F.col(name).try_cast("double")
         number, text = (F.lit(None).cast("double"), F.col(name)) if kind == "string" else (number, F.lit(None).cast("string"))
         parts.append(F.struct(F.lit(name).alias("column"), number.alias("number"), text.alias("text"), F.col(name).isNull().alias("none")))
-    each = df.select(file.alias("file"), F.inline(F.array(*parts)))
-    return each.groupBy("file", "column").agg(F.min("number").alias("min_number"), F.max("number").alias("max_number"), F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.count_if("none").alias("null_count"), F.count("*").alias("row_count"))
+    blocks = [block.alias("block")] if block is not None else []
+    each = df.select(file.alias("file"), *blocks, F.inline(F.array(*parts)))
+    by = ["file", "block", "column"] if blocks else ["file", "column"]
+    return each.groupBy(*by).agg(F.min("number").alias("min_number"), F.max("number").alias("max_number"), F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.count_if("none").alias("null_count"), F.count("*").alias("row_count"))
 
 
 def merge_zone_maps(zones: DataFrame, by: list[str]) -> DataFrame:
@@ -52,13 +58,18 @@ def bloom(df: DataFrame, file: Column, name: str, bits: int, hashes: int) -> Dat
     return each.groupBy("file", F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
 
 
-def bloom_files(filters: DataFrame, value: Any, bits: int, hashes: int) -> DataFrame:
-    """(file,): files whose filter may hold the value."""
-    wanted = filters.sparkSession.range(1).select(F.explode(_bloom_positions(F.lit(str(value)), bits, hashes)).alias("p")).distinct()
-    wanted = wanted.select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("q"))
+def _as_indexed(value: Any, kind: str | None) -> Column:
+    """A value as the text that an index of a column of a type holds for it; kind None: as Spark writes the value itself."""
+    return (F.lit(value).cast(kind) if kind else F.lit(value)).cast("string")
+
+
+def bloom_files(filters: DataFrame, value: Any, bits: int, hashes: int, kind: str | None = None) -> DataFrame:
+    """(file,): files whose filter may hold the value, for a column of type kind."""
+    wanted = filters.sparkSession.range(1).select(F.explode(F.array_distinct(_bloom_positions(_as_indexed(value, kind), bits, hashes))).alias("p"))
+    wanted = wanted.select(F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("q"))  # a row a hash
     byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("q") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
     probed = filters.join(F.broadcast(wanted), "bucket").withColumn("bit", F.getbit(byte, (F.col("q") % 8).cast("int")))
-    return probed.groupBy("file").agg(F.sum("bit").alias("found")).where(F.col("found") == wanted.count()).select("file")
+    return probed.groupBy("file").agg(F.sum("bit").alias("found")).join(F.broadcast(wanted.agg(F.count("*").alias("needed")))).where("found = needed").select("file")
 
 
 def bitmap(df: DataFrame, file: Column, row_index: Column, name: str) -> DataFrame:
@@ -77,42 +88,90 @@ def bitmap_counts(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.groupBy("value").agg(F.sum(F.bitmap_count("bitmap")).alias("n"))
 
 
+def bitmap_rows(bitmaps: DataFrame, value: Any, kind: str | None = None) -> DataFrame:
+    """(file, row_index): the rows that hold a value."""
+    own = bitmaps.where(F.col("value") == _as_indexed(value, kind))
+    byte = lambda i: F.conv(F.hex(F.substring("bitmap", i + 1, F.lit(1))), 16, 10).cast("bigint")
+    places = F.sequence(F.lit(0), F.octet_length("bitmap") - 1)
+    each = own.select("file", "bucket", F.explode(F.filter(F.transform(places, lambda i: F.named_struct(F.lit("at"), i, F.lit("byte"), byte(i))), lambda b: b["byte"] > 0)).alias("b"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(F.col("b.byte"), k) == 1)
+    rows = each.select("file", "bucket", F.col("b.at").alias("at"), F.explode(bits).alias("bit"))
+    # bit 0 of bucket k is number (k - 1) * 32768 + 1, and row i has number i + 1
+    return rows.select("file", ((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).alias("row_index"))
+
+
+def _number(value: Any) -> Column:
+    return F.unix_micros(F.lit(value).cast("timestamp")).cast("double") if hasattr(value, "isoformat") else F.lit(float(value))
+
+
+def _within(low: Any, high: Any) -> Column:
+    """Whether a zone can hold a value from low to high; None is no bound."""
+    text = isinstance(low if low is not None else high, str)
+    least, most = (F.col("min_text"), F.col("max_text")) if text else (F.col("min_number"), F.col("max_number"))
+    as_column = F.lit if text else _number
+    out = F.lit(True)
+    if low is not None:
+        out = out & (most >= as_column(low))
+    return out & (least <= as_column(high)) if high is not None else out
+
+
 def _zone_condition(f: Filter) -> tuple[str, Column] | None:
     """(field, condition on the zone map) under which a file can hold a match; None if zones can't tell."""
-    value = lambda v: F.unix_micros(F.lit(v).cast("timestamp")).cast("double") if hasattr(v, "isoformat") else F.lit(v) if isinstance(v, str) else F.lit(float(v))
-    bounds = lambda v: (F.col("min_text"), F.col("max_text")) if isinstance(v, str) else (F.col("min_number"), F.col("max_number"))
     if isinstance(f, Equals):
-        low, high = bounds(f.value)
-        return f.field, (low <= value(f.value)) & (high >= value(f.value))
+        return f.field, _within(f.value, f.value)
     if isinstance(f, In) and f.values:
         out = F.lit(False)
         for v in f.values:
-            low, high = bounds(v)
-            out = out | ((low <= value(v)) & (high >= value(v)))
+            out = out | _within(v, v)
         return f.field, out
-    if isinstance(f, GreaterThan):
-        return f.field, bounds(f.value)[1] > value(f.value)
+    if isinstance(f, Between):
+        return f.field, _within(f.low, f.high)
+    if isinstance(f, GreaterThan):  # a zone that ends at the value is kept, which only costs time
+        return f.field, _within(f.value, None)
     if isinstance(f, LessThan):
-        return f.field, bounds(f.value)[0] < value(f.value)
+        return f.field, _within(None, f.value)
     return None
 
 
-def prune(files: DataFrame, query: Filter, zones: DataFrame | None = None, blooms: dict[str, tuple[DataFrame, int, int]] | None = None, bitmaps: dict[str, DataFrame] | None = None) -> DataFrame:
+def prune(
+    files: DataFrame,
+    query: Filter,
+    zones: DataFrame | None = None,
+    blooms: dict[str, tuple[DataFrame, int, int]] | None = None,
+    bitmaps: dict[str, DataFrame] | None = None,
+    kinds: dict[str, str] | None = None,
+) -> DataFrame:
     """Those of files (file,) that can hold a match of the query, by all indexes there are; what no index covers stays.
 
-    blooms: by field, (filters, bits, hashes); bitmaps: by field.
+    blooms: by field, (filters, bits, hashes); bitmaps: by field; kinds: the types of fields whose values are given in another type.
     """
-    for f in query.filters if isinstance(query, And) else [query]:
-        if zones is not None and (condition := _zone_condition(f)):
-            own = zones.where(F.col("column") == condition[0])
-            files = files.join(own.where(~F.coalesce(condition[1], F.lit(False))).select("file"), "file", "left_anti")
-        if isinstance(f, Equals) and blooms and f.field in blooms:
-            filters, bits, hashes = blooms[f.field]
-            out = filters.select("file").distinct().join(bloom_files(filters, f.value, bits, hashes), "file", "left_anti")
-            files = files.join(out, "file", "left_anti")
-        if isinstance(f, (Equals, In)) and bitmaps and f.field in bitmaps:
-            values = [str(v) for v in (f.values if isinstance(f, In) else [f.value])]
-            own = bitmaps[f.field]
-            out = own.select("file").distinct().join(own.where(F.col("value").isin(values)).select("file").distinct(), "file", "left_anti")
-            files = files.join(out, "file", "left_anti")
+    if isinstance(query, And):
+        for f in query.filters:
+            files = prune(files, f, zones, blooms, bitmaps, kinds)
+        return files
+    if isinstance(query, Or) and query.filters:
+        parts = [prune(files, f, zones, blooms, bitmaps, kinds) for f in query.filters]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out.distinct()
+    kind = (kinds or {}).get(getattr(query, "field", None))
+    if zones is not None and (condition := _zone_condition(query)):
+        own = zones.where(F.col("column") == condition[0])
+        # a file goes if none of its zones can hold a match
+        possible = own.groupBy("file").agg(F.max(F.coalesce(condition[1], F.lit(False))).alias("possible"))
+        files = files.join(possible.where("NOT possible").select("file"), "file", "left_anti")
+    if isinstance(query, (Equals, In)) and blooms and query.field in blooms:
+        filters, bits, hashes = blooms[query.field]
+        found = None
+        for v in query.values if isinstance(query, In) else [query.value]:
+            one = bloom_files(filters, v, bits, hashes, kind)
+            found = one if found is None else found.unionByName(one)
+        if found is not None:
+            files = files.join(filters.select("file").distinct().join(found, "file", "left_anti"), "file", "left_anti")
+    if isinstance(query, (Equals, In)) and bitmaps and query.field in bitmaps:
+        values = [_as_indexed(v, kind) for v in (query.values if isinstance(query, In) else [query.value])]
+        own = bitmaps[query.field]
+        out = own.select("file").distinct().join(own.where(F.col("value").isin(*values)).select("file").distinct(), "file", "left_anti")
+        files = files.join(out, "file", "left_anti")
     return files

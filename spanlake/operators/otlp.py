@@ -38,10 +38,10 @@ RESOURCE_ATTRIBUTES = {
 }
 
 
-def payload_json(payload: Column) -> Column:
-    """The JSON text of a message: as it is, or base64 of it; null if it is neither."""
+def parsed(payload: Column, schema: str, outer: str) -> Column:
+    """The list `outer` of a message: of its JSON text or, where that has none, of the JSON that its base64 holds; null if neither has it."""
     decoded = F.try_to_binary(payload, F.lit("base64")).cast("string")
-    return F.coalesce(F.when(F.try_parse_json(payload).isNotNull(), payload), F.when(F.try_parse_json(decoded).isNotNull(), decoded))
+    return F.coalesce(F.from_json(payload, schema)[outer], F.from_json(decoded, schema)[outer])
 
 
 def _service(resource: Column) -> Column:
@@ -50,10 +50,10 @@ def _service(resource: Column) -> Column:
 
 def _parsed(messages: DataFrame, payload_col: str, schema: str, outer: str, inner: str, items: str) -> DataFrame:
     """A row for each innermost item, with its resource's and scope's; `m` holds the message's other columns."""
-    rows = messages.select(F.struct("*").alias("m"), F.from_json(payload_json(F.col(payload_col)), schema)[outer].alias("r"))
-    rows = rows.select("m", F.explode("r").alias("r"))
-    rows = rows.select("m", attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode(f"r.{inner}").alias("s"))
-    return rows.select("m", "resource", F.col("s.scope").alias("scope"), F.explode(f"s.{items}").alias("x"))
+    # explode_outer: for explode the planner would filter by size first, and parse a second time for it
+    rows = messages.select(F.struct("*").alias("m"), F.explode_outer(parsed(F.col(payload_col), schema, outer)).alias("r"))
+    rows = rows.select("m", attribute_map(F.col("r.resource.attributes")).alias("resource"), F.explode_outer(f"r.{inner}").alias("s"))
+    return rows.select("m", "resource", F.col("s.scope").alias("scope"), F.explode_outer(f"s.{items}").alias("x")).where("x IS NOT NULL")
 
 
 def spans(messages: DataFrame, payload_col: str = "payload", ingestion_node: str = "spark") -> DataFrame:
@@ -131,7 +131,7 @@ def metric_points(messages: DataFrame, payload_col: str = "payload") -> DataFram
     x = _parsed(messages, payload_col, METRICS, "resourceMetrics", "scopeMetrics", "metrics")
     kind = F.when(F.col("x.gauge").isNotNull(), "gauge").when(F.col("x.sum").isNotNull(), F.when(F.col("x.sum.isMonotonic") == "true", "counter").otherwise("sum")).when(F.col("x.histogram").isNotNull(), "histogram")
     points = F.coalesce("x.gauge.dataPoints", "x.sum.dataPoints", "x.histogram.dataPoints")
-    x = x.select("m", "resource", "scope", "x", kind.alias("metric_type"), F.explode(points).alias("p"))
+    x = x.select("m", "resource", "scope", "x", kind.alias("metric_type"), F.explode_outer(points).alias("p")).where("p IS NOT NULL")
     number = lambda name: F.col(f"p.{name}").try_cast("double").alias(name)
     return x.select(
         F.col("x.name").alias("metric_name"),

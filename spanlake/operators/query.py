@@ -145,6 +145,11 @@ def aggregate(df: DataFrame, aggregation: Aggregation) -> DataFrame:
     return df.agg(level.column())
 
 
+def metrics(df: DataFrame, *wanted: Aggregation) -> DataFrame:
+    """One row with several metrics over all rows, in one pass."""
+    return df.agg(*(m.column() for m in wanted))
+
+
 def levels(df: DataFrame, aggregation: Buckets) -> list[DataFrame]:
     """A DataFrame for each level of nested buckets, outermost first, each with its own doc_count and metrics."""
     out, keys, level = [], [], aggregation

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from spanlake.operators import query as q
-from spanlake.operators.filters import Contains, Equals, GreaterThan, In, LessThan, Not, NotEquals, NotIn, Regex, TimeRange
+from spanlake.operators.filters import Between, Contains, Equals, GreaterThan, In, LessThan, Not, NotEquals, NotIn, Regex, TimeRange
 from spanlake.operators.search import search
 from spanlake.plans.registry import query
+from spanlake.sources.storage import spread
 
 EVENT = ["event_id", "event_type", "value"]
 EVENT_SQL = "SELECT event_id, event_type, value FROM events WHERE "
@@ -61,12 +62,12 @@ def filter_contains(t):
 
 @query(r"SELECT doc_id, lang FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'with')")
 def filter_token(t):
-    return hits(t.documents, Contains("text", "with")).select("doc_id", "lang")
+    return hits(spread(t.documents), Contains("text", "with")).select("doc_id", "lang")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '[0-9]{4}')")
 def filter_regex(t):
-    return hits(t.documents, Regex("text", "[0-9]{4}")).select("doc_id", "lang")
+    return hits(spread(t.documents), Regex("text", "[0-9]{4}")).select("doc_id", "lang")
 
 
 @query(EVENT_SQL + "(event_type = 'click' AND value > 20) OR NOT (event_type IN ('view', 'click') OR value < 5)")
@@ -75,6 +76,11 @@ def filter_bool(t):
     return hits(t.events, both).select(EVENT)
 
 
+@query(EVENT_SQL + "value BETWEEN 20 AND 30")
+def filter_between(t):
+    return hits(t.events, Between("value", 20.0, 30.0)).select(EVENT)
+
+
 @query("SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00'")
 def filter_time_range(t):
     return hits(t.events, time_range=TimeRange(datetime(2024, 1, 5), datetime(2024, 1, 12, 12), "ts")).select("event_id", "ts")
@@ -87,11 +93,8 @@ def agg_count(t):
 
 @query("SELECT round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events")
 def agg_sum_avg_min_max(t):
-    one = [q.aggregate(t.events, a) for a in (q.Sum("value", "sum"), q.Avg("value", "avg"), q.Min("value", "min"), q.Max("value", "max"))]
-    out = one[0]
-    for other in one[1:]:
-        out = out.join(other)  # one row each
-    return out.select(F.round("sum", 4).alias("sum"), F.round("avg", 6).alias("avg"), "min", "max")
+    found = q.metrics(t.events, q.Sum("value", "sum"), q.Avg("value", "avg"), q.Min("value", "min"), q.Max("value", "max"))
+    return found.select(F.round("sum", 4).alias("sum"), F.round("avg", 6).alias("avg"), "min", "max")
 
 
 @query("SELECT event_type, count(*) AS doc_count, round(sum(value), 2) AS total FROM events GROUP BY event_type")
@@ -142,4 +145,4 @@ def offset_page(t):
     FROM tf JOIN df USING (term), corpus GROUP BY doc_id HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 20"""
 )
 def text_topk(t):
-    return search(t.documents, "with that", "doc_id", "text", 20).withColumn("score", F.round("score", 6))
+    return search(spread(t.documents), "with that", "doc_id", "text", 20).withColumn("score", F.round("score", 6))

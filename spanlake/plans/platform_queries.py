@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.attributes import json_flatten
 from spanlake.functions.names import normalize_client, severity, topic_part
-from spanlake.operators import catalog, indexes, maintenance, monitor, otlp, validation
-from spanlake.operators.filters import And, Equals, GreaterThan, overlaps
+from spanlake.operators import catalog, index_store, indexes, maintenance, monitor, otlp, validation
+from spanlake.operators.filters import And, Between, Equals, GreaterThan, In, Or, overlaps
 from spanlake.plans.registry import query
+from spanlake.sources import storage
+from spanlake.sources.storage import spread
 from spanlake.streaming import pipelines
 
 NOW = datetime(2024, 2, 1)
@@ -39,9 +41,25 @@ def partition_overlap(t):
     return partitions(t).where(overlaps("start_time", "end_time", datetime(1996, 1, 15), datetime(1996, 3, 1))).select("partition_id")
 
 
-@query("SELECT l.l_orderkey AS trace_id, CAST(count(*) AS BIGINT) AS spans, round(max(o.o_totalprice), 2) AS root FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY l.l_orderkey")
+def order_spans(t):
+    """orders as root spans, their lineitems as child spans; those of orders with an odd key have lost their root."""
+    span = lambda trace, span_id, parent, name: [F.col(trace).alias("trace_id"), span_id.cast("string").alias("span_id"), F.lit(parent).cast("string").alias("parent_span_id"), F.col(name).alias("span_name")]
+    roots = t.orders.where("o_orderkey % 2 = 0").select(*span("o_orderkey", F.lit("root"), None, "o_orderpriority"))
+    return roots.unionByName(t.lineitem.select(*span("l_orderkey", F.col("l_linenumber"), "root", "l_returnflag")))
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS trace_id, count(*) AS items FROM lineitem GROUP BY 1),
+    r AS (SELECT o_orderkey AS trace_id, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT trace_id, coalesce(items, 0) + CASE WHEN r.trace_id IS NULL THEN 0 ELSE 1 END AS spans, CASE WHEN items IS NOT NULL THEN o_orderpriority END AS parent_name,
+    greatest(coalesce(items, 1) - 1, 0) AS siblings, CASE WHEN r.trace_id IS NULL THEN items ELSE 0 END AS orphans FROM i FULL JOIN r USING (trace_id)"""
+)
 def trace_assembly(t):
-    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_orderkey").alias("trace_id")).agg(F.count("*").alias("spans"), F.round(F.max("o_totalprice"), 2).alias("root"))
+    """Each trace's spans, with the name of their parent and how many siblings they have."""
+    tree = catalog.trace_tree(order_spans(t))
+    child = F.col("parent_span_id").isNotNull()
+    found = tree.groupBy("trace_id").agg(F.count("*").alias("spans"), F.max(F.when(child, F.col("parent_name"))).alias("parent_name"), F.coalesce(F.max(F.when(child, F.col("siblings"))), F.lit(0)).alias("siblings"), F.count_if(child & F.col("parent_name").isNull()).alias("orphans"))
+    return found
 
 
 @query(
@@ -60,10 +78,10 @@ def snapshot_explode_join(t):
     return catalog.snapshot_files(snapshots, t.customer.select(F.col("c_custkey").alias("file_ulid"), "c_name"))
 
 
-@query("SELECT c_custkey AS file_ulid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 100")
+@query("SELECT c_custkey AS file_ulid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) ORDER BY c_custkey LIMIT 100")
 def unindexed_files(t):
     files = t.customer.select(F.col("c_custkey").alias("file_ulid"), F.col("c_custkey").alias("created_at"))
-    return catalog.unindexed(files, t.orders.select(F.col("o_custkey").alias("file_ulid"))).select("file_ulid")
+    return catalog.unindexed(files, t.orders.where("o_totalprice > 350000").select(F.col("o_custkey").alias("file_ulid"))).select("file_ulid")
 
 
 @query("SELECT user_id AS client_id, count(*) AS batches, CAST(sum(event_id) AS BIGINT) AS messages, round(sum(event_id) / 2678400.0, 6) AS per_second FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY user_id")
@@ -152,17 +170,42 @@ def zone_map_merge(t):
     return indexes.merge_zone_maps(_zones(t), ["column"]).select("column", "min_number", "max_number", F.col("null_count").cast("bigint").alias("null_count"), F.col("row_count").cast("bigint").alias("row_count"))
 
 
-@query()
+@query(
+    "\nUNION ALL ".join(
+        f"SELECT '{c}' AS field, count(DISTINCT {c}) AS cardinality, count(*) FILTER (WHERE {c} IS NULL) AS null_count, min(CAST({c} AS VARCHAR)) AS min, max(CAST({c} AS VARCHAR)) AS max, round(avg(length(CAST({c} AS VARCHAR))), 6) AS avg_size FROM events"
+        for c in ("event_type", "user_id", "event_id")
+    )
+)
 def field_stats(t):
-    return catalog.field_stats(t.events, ["event_type", "user_id", "value"])
+    return catalog.field_stats(t.events, ["event_type", "user_id", "event_id"], exact=True).withColumn("avg_size", F.round("avg_size", 6))
+
+
+PROBES = (3, 7, 11, 1_000_001, 1_000_002)
 
 
-@query("SELECT DISTINCT event_type AS file FROM events WHERE user_id = 7")
+@query(f"SELECT p AS value, (SELECT count(DISTINCT date_trunc('hour', ts)) FROM events WHERE user_id = p) AS files, 0 AS missed, true AS few_false FROM (SELECT unnest({list(PROBES)}) AS p)")
 def bloom_probe(t):
-    bits, hashes = indexes.bloom_size(20_000)
-    files = indexes.bloom_files(indexes.bloom(t.events, F.col("event_type"), "user_id", bits, hashes), 7, bits, hashes)
-    # a filter can name a file too many, so the exact predicate follows
-    return files.join(t.events.where("user_id = 7").select(F.col("event_type").alias("file")).distinct(), "file", "left_semi")
+    """Which hours' filters may hold each of some users, against those that do: none is missed, and no more than one in fifty is named in vain."""
+    events = t.events.withColumn("file", F.date_format("ts", "yyyy-MM-dd-HH"))
+    bits, hashes = indexes.bloom_size(1_000)
+    filters = indexes.bloom(events, F.col("file"), "user_id", bits, hashes)
+    named = None
+    for p in PROBES:
+        one = indexes.bloom_files(filters, p, bits, hashes, "bigint").select(F.lit(p).alias("value"), "file", F.lit(1).alias("named"))
+        named = one if named is None else named.unionByName(one)
+    held = events.where(F.col("user_id").isin(*PROBES)).select(F.col("user_id").alias("value"), "file", F.lit(1).alias("held")).distinct()
+    both = named.join(held, ["value", "file"], "full").groupBy("value").agg(F.sum("held").alias("files"), F.count_if(F.expr("held IS NOT NULL AND named IS NULL")).alias("missed"), F.count_if(F.col("held").isNull()).alias("vain"))
+    probes = events.sparkSession.createDataFrame([(p,) for p in PROBES], "value bigint")
+    n = events.agg(F.count_distinct("file").alias("n"))
+    found = probes.join(both, "value", "left").join(F.broadcast(n))
+    return found.select("value", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("missed", F.lit(0)).cast("int").alias("missed"), (F.coalesce("vain", F.lit(0)) * 50 <= F.col("n")).alias("few_false"))
+
+
+@query("SELECT user_id % 3 AS file, event_id AS row_index FROM events WHERE event_type = 'purchase'")
+def bitmap_rows(t):
+    """The rows of a value."""
+    rows = indexes.bitmap(t.events, F.col("user_id") % 3, F.col("event_id"), "event_type")
+    return indexes.bitmap_rows(rows, "purchase")
 
 
 @query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
@@ -171,24 +214,76 @@ def bitmap_lookup(t):
     return indexes.bitmap_counts(indexes.merge_bitmaps(rows))
 
 
+_lakes: dict[tuple[str, str], str] = {}
+
+
+def lake(t) -> str:
+    """events as the logs of four tenants, a file a tenant and day, with zone maps, Bloom filters and bitmaps; three days are combined. Written once a session and folder of tables."""
+    spark = t.events.sparkSession
+    key = (spark.sparkContext.applicationId, t.folder)
+    if key not in _lakes:
+        root = storage.scratch(spark)
+        rows = t.events.select(F.concat(F.lit("t"), F.col("user_id") % 4).alias("client_name"), F.col("ts").alias("timestamp"), "event_id", "user_id", "event_type", "value")
+        storage.write(rows, root, "logs", "timestamp")
+        index_store.build(spark, root, "logs", index_store.Plan(zones=("event_id", "user_id", "value"), blooms=("user_id",), bitmaps=("event_type",), rows=2_000))
+        for day in COMBINED:
+            index_store.combine_day(spark, root, "logs", day)
+        _lakes[key] = root
+    return _lakes[key]
+
+
+COMBINED = ("2024-01-03", "2024-01-04", "2024-01-10")
+TENANT = "'t' || (user_id % 4)"
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE user_id = 7 AND value > 20")
 def prune_equals_filter(t):
-    """Files are the events of an hour; what pruning keeps is filtered exactly."""
-    events = t.events.withColumn("file", F.date_format("ts", "yyyy-MM-dd-HH"))
-    bits, hashes = indexes.bloom_size(1_000)
+    """Only files whose indexes let them hold a match are read."""
     condition = And([Equals("user_id", 7), GreaterThan("value", 20.0)])
-    kept = indexes.prune(events.select("file").distinct(), condition, indexes.zone_map(events, F.col("file"), ["user_id", "value"]), {"user_id": (indexes.bloom(events, F.col("file"), "user_id", bits, hashes), bits, hashes)})
-    return events.join(kept, "file", "left_semi").where(condition.column()).select("event_id", "user_id", "value")
+    return index_store.read(t.events.sparkSession, lake(t), "logs", condition, "t3").select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-11' AND (event_id BETWEEN 100 AND 180 OR event_type IN ('purchase', 'error') AND user_id = 6)")
+def index_prune_paths(t):
+    """Or, In and Between, over hours and combined days."""
+    low, high = datetime(2024, 1, 2), datetime(2024, 1, 11)
+    condition = And([Between("timestamp", low, high), Or([Between("event_id", 100, 180), And([In("event_type", ["purchase", "error"]), Equals("user_id", 6)])])])
+    return index_store.read(t.events.sparkSession, lake(t), "logs", condition, since=low, until=high).select("event_id", "event_type")
+
+
+@query(f"SELECT {TENANT} AS tenant, count(DISTINCT date_trunc('day', ts)) AS files, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts FROM events GROUP BY 1")
+def index_build(t):
+    """The catalog of indexed files, by tenant."""
+    known = index_store.files(t.events.sparkSession, lake(t))
+    return known.groupBy("tenant").agg(F.count("*").alias("files"), F.sum("row_count").alias("rows"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+
+
+@query(
+    f"""SELECT {TENANT} AS tenant, strftime(ts, '%Y-%m-%d') AS day, CAST(min(event_id) AS DOUBLE) AS least, CAST(max(event_id) AS DOUBLE) AS largest, count(*) AS rows
+    FROM events WHERE strftime(ts, '%Y-%m-%d') IN {COMBINED} GROUP BY 1, 2"""
+)
+def combine_day(t):
+    """The zone maps that combined days hold."""
+    rows = index_store.index_rows(t.events.sparkSession, lake(t), "zone", "logs").where("level = 'day' AND column = 'event_id'")
+    return rows.groupBy("tenant", F.col("partition").alias("day")).agg(F.min("min_number").alias("least"), F.max("max_number").alias("largest"), F.sum("row_count").cast("bigint").alias("rows"))
+
+
+@query(
+    f"""WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, min(ts) AS first FROM events WHERE user_id % 4 = 1 GROUP BY 1)
+    SELECT CASE WHEN day IN {COMBINED} THEN 'day' ELSE 'hour' END AS level, CASE WHEN day IN {COMBINED} THEN day ELSE strftime(first, '%Y-%m-%d-%H') END AS partition, count(*) AS files FROM d GROUP BY 1, 2"""
+)
+def coverage(t):
+    return index_store.coverage(t.events.sparkSession, lake(t), "logs", "t1")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing FROM events")
 def json_attributes(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.get_json_object("props", "$.ref").alias("ref"))
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
 
 
-@query()
+@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE props IS NOT NULL")
 def json_flattened(t):
-    return t.events.select("event_id", F.explode(json_flatten("props")).alias("path", "value"))
+    return spread(t.events).select("event_id", F.explode(json_flatten("props")).alias("path", "value"))
 
 
 @query("SELECT event_id, CAST(user_id AS VARCHAR) AS client FROM events")
@@ -263,7 +358,7 @@ def messages(t):
     span = F.struct(F.lpad(F.hex("event_id"), 32, "0").alias("traceId"), F.lpad(F.hex("event_id"), 16, "0").alias("spanId"), F.col("event_type").alias("name"), nanos.cast("string").alias("startTimeUnixNano"), (nanos + F.floor(F.col("value") * 1000)).cast("string").alias("endTimeUnixNano"), F.array(attribute("http.status_code", "intValue", F.lit(200) + F.col("user_id") % 300)).alias("attributes"))
     resource = F.struct(F.array(attribute("service.name", "stringValue", F.concat(F.lit("svc-"), F.col("user_id")))).alias("attributes"))
     payload = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    return t.events.select(F.to_json(payload).alias("payload"), F.col("event_id").cast("string").alias("message_id"))
+    return spread(t.events).select(F.to_json(payload).alias("payload"), F.col("event_id").cast("string").alias("message_id"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS message_id, 'svc-' || user_id AS service_name, event_type AS span_name, CAST(200 + user_id % 300 AS INTEGER) AS http_status_code, 200 + user_id % 300 >= 400 AS is_error, CAST(greatest(floor(value * 1000), 0) AS BIGINT) AS duration_nanos FROM events")

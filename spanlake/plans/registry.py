@@ -18,10 +18,10 @@ class Tables:
     """The tables of a folder, as attributes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
+        self._spark, self.folder = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def query(sql: str | None = None):
@@ -49,4 +49,4 @@ def spark_query(name: str, text: str, sql: str | None = None) -> None:
     QUERIES[name], SQL[name] = f, sql or text
 
 
-from spanlake.plans import document_queries, platform_queries, sql_queries  # noqa: E402, F401  they register themselves
+from spanlake.plans import document_queries, platform_queries, sql_queries, telemetry_queries  # noqa: E402, F401  they register themselves

@@ -15,8 +15,8 @@ spark_query(
 )
 spark_query(
     "join_anti",
-    "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey",
-    "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
+    "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 350000",
+    "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 350000",
 )
 spark_query("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 spark_query("join_theta_range", "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND b.n_nationkey <= a.n_nationkey + 3")
@@ -45,10 +45,16 @@ spark_query("topk_per_group", "SELECT user_id, event_id, value FROM (SELECT user
 spark_query("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 spark_query("set_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
 spark_query("set_intersect", "SELECT o_custkey AS k FROM orders WHERE o_totalprice > 100000 INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0")
-spark_query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders")
+spark_query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 350000")
 spark_query("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
 spark_query("scalar_strings", "SELECT p_partkey, upper(p_name) AS a, substring(p_name, 2, 4) AS b, replace(p_type, ' ', '_') AS c, length(p_name) AS d, reverse(p_brand) AS e, lpad(p_brand, 12, '*') AS f FROM part", "SELECT p_partkey, upper(p_name) AS a, substring(p_name, 2, 4) AS b, replace(p_type, ' ', '_') AS c, CAST(length(p_name) AS INTEGER) AS d, reverse(p_brand) AS e, lpad(p_brand, 12, '*') AS f FROM part")
 spark_query("scalar_case_cast", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band, CAST(round(o_totalprice) AS BIGINT) AS price, try_cast(substring(o_orderpriority, 1, 1) AS INT) AS priority FROM orders")
 spark_query("scalar_dates", "SELECT event_id, date_trunc('day', ts) AS day, CAST(extract(HOUR FROM ts) AS BIGINT) AS hour, ts + INTERVAL 90 MINUTES AS later FROM events", "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, CAST(extract(HOUR FROM ts) AS BIGINT) AS hour, ts + INTERVAL 90 MINUTES AS later FROM events")
 spark_query("scalar_null_safe", "SELECT a.n_nationkey AS a, b.s_suppkey AS b FROM nation a JOIN supplier b ON a.n_nationkey IS NOT DISTINCT FROM b.s_nationkey WHERE b.s_acctbal BETWEEN 0 AND 5000 AND a.n_name LIKE '%A%'")
 spark_query("distinct_on_latest", "SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1")
+spark_query("scalar_math", "SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_discount - 0.05), 6) AS a, ceil(l_tax * 100) AS b, floor(l_extendedprice / 7) AS c, round(sqrt(l_quantity), 6) AS d, round(power(l_tax, 2), 8) AS e, round(ln(l_quantity), 6) AS f, sign(l_discount - 0.05) AS g, l_partkey % 7 AS h, round(exp(l_tax), 6) AS i, round(sin(l_discount), 6) AS j, greatest(l_tax, l_discount) AS k FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_discount - 0.05), 6) AS a, CAST(ceil(l_tax * 100) AS BIGINT) AS b, CAST(floor(l_extendedprice / 7) AS BIGINT) AS c, round(sqrt(l_quantity), 6) AS d, round(power(l_tax, 2), 8) AS e, round(ln(l_quantity), 6) AS f, CAST(sign(l_discount - 0.05) AS DOUBLE) AS g, l_partkey % 7 AS h, round(exp(l_tax), 6) AS i, round(sin(l_discount), 6) AS j, greatest(l_tax, l_discount) AS k FROM lineitem")
+spark_query("scalar_arrays", "SELECT p_partkey, size(w) AS n, element_at(w, 1) AS first, array_contains(w, 'PART') AS has, array_join(sort_array(array_distinct(w)), '/') AS sorted, array_join(slice(w, 1, 2), '+') AS two, array_position(w, element_at(w, -1)) AS place FROM (SELECT p_partkey, split(upper(p_name || ' ' || p_type), ' ') AS w FROM part) x", "SELECT p_partkey, CAST(len(w) AS INTEGER) AS n, w[1] AS first, list_contains(w, 'PART') AS has, array_to_string(list_sort(list_distinct(w)), '/') AS sorted, array_to_string(w[1:2], '+') AS two, CAST(list_position(w, w[-1]) AS BIGINT) AS place FROM (SELECT p_partkey, string_split(upper(p_name || ' ' || p_type), ' ') AS w FROM part) x")
+spark_query("scalar_maps_structs", "SELECT c_custkey, m['seg'] AS seg, size(m) AS n, array_join(sort_array(map_keys(m)), ',') AS keys, s.a AS a, map_contains_key(m, 'none') AS none FROM (SELECT c_custkey, map('seg', c_mktsegment, 'name', c_name) AS m, named_struct('a', c_nationkey, 'b', c_name) AS s FROM customer) x", "SELECT c_custkey, c_mktsegment AS seg, CAST(2 AS INTEGER) AS n, 'name,seg' AS keys, c_nationkey AS a, false AS none FROM customer")
+spark_query("unnest_array", "SELECT p_partkey, word FROM part LATERAL VIEW explode(split(p_type, ' ')) x AS word", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
+spark_query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+spark_query("scalar_hashes", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s, base64(CAST(c_name AS BINARY)) AS b, hex(c_custkey) AS h FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, base64(c_name::BLOB) AS b, hex(c_custkey) AS h FROM customer")

@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructType, TimestampType
 
-#: An attribute value. Numbers are read as text, since OTLP writes them as numbers or strings; arrays hold scalars.
-_SCALAR = "stringValue string, boolValue string, intValue string, doubleValue string, bytesValue string"
-VALUE = f"struct<{_SCALAR.replace(' string', ': string')}, arrayValue: struct<values: array<struct<{_SCALAR.replace(' string', ': string')}>>>, kvlistValue: string>"
+#: How deep lists in attribute values are read as such; what lies deeper stays JSON text.
+DEPTH = 3
+
+
+def _value(depth: int) -> str:
+    """An attribute value. Numbers are read as text, since OTLP writes them as numbers or strings."""
+    inner = _value(depth - 1) if depth else None
+    array = f"struct<values: array<{inner}>>" if depth else "string"
+    pairs = f"struct<values: array<struct<key: string, value: {inner}>>>" if depth else "string"
+    return f"struct<stringValue: string, boolValue: string, intValue: string, doubleValue: string, bytesValue: string, arrayValue: {array}, kvlistValue: {pairs}>"
+
+
+VALUE = _value(DEPTH)
 ATTRIBUTES = f"array<struct<key: string, value: {VALUE}>>"
 SCOPE = f"struct<name: string, version: string, attributes: {ATTRIBUTES}>"
 RESOURCE = f"struct<attributes: {ATTRIBUTES}>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +34,37 @@ def read(spark: SparkSession, root: str, signal: str, tenant: str | None = None,
     return df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that the session names in spark.checkpoint.dir; a local session that names none, as in tests, gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp()}/lake-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def register(spark: SparkSession, root: str, tenant: str, signals: tuple = SIGNALS) -> list[str]:
     """Temporary views named as the signals, over all files of a tenant; returns those that exist."""
     found = []
     for signal in signals:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{signal}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if exists(spark, f"{root}/{signal}"):
             read(spark, root, signal, tenant).createOrReplaceTempView(signal)
             found.append(signal)
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions; for work on rows that costs far more than moving them. Streams stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of the columns that there are."""
     return df.select([c for c in columns if c in df.columns])
@@ -63,3 +85,10 @@ def json_rows(df: DataFrame) -> DataFrame:
 def bronze(messages: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Raw messages with the CRC-32 of their payload, to be kept before they are parsed."""
     return messages.withColumn("crc32", F.crc32(F.col(payload_col).cast("binary")))
+
+
+def replay(spark: SparkSession, path: str, payload_col: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Messages kept by bronze(), read back: the intact ones, and those whose payload no longer has its CRC-32."""
+    kept = spark.read.parquet(path)
+    intact = F.coalesce(F.crc32(F.col(payload_col).cast("binary")) == F.col("crc32"), F.col(payload_col).isNull())
+    return kept.where(intact).drop("crc32"), kept.where(~intact)

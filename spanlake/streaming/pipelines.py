@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from spanlake.functions.attributes import last_of_each
 from spanlake.functions.names import index_name, payload_type, topic_part
 
 
@@ -22,9 +25,18 @@ def kafka(spark: SparkSession, servers: str, pattern: str, max_offsets: int = 1_
 
 
 def with_topic(messages: DataFrame) -> DataFrame:
-    """Kafka rows with payload, client_name, index_name and payload_type; empty payloads are dropped."""
+    """Kafka rows with payload, headers as a map of text, client_name, index_name and payload_type; empty payloads are dropped.
+
+    Headers name the client and the index where they have them, else the topic does.
+    """
     topic = F.col("topic")
-    return messages.withColumns({"payload": F.col("value").cast("string"), "client_name": topic_part(topic, 1), "index_name": index_name(topic), "payload_type": payload_type(topic)}).where("payload <> ''")
+    if "headers" in messages.columns:
+        text = F.transform("headers", lambda h: F.named_struct(F.lit("key"), h["key"], F.lit("value"), h["value"].cast("string")))
+        messages = messages.withColumn("headers", F.map_from_entries(last_of_each(text)))
+        named = lambda key, other: F.coalesce(F.nullif(F.try_element_at("headers", F.lit(key)), F.lit("")), other)
+    else:
+        named = lambda key, other: other
+    return messages.withColumns({"payload": F.col("value").cast("string"), "client_name": named("client_name", topic_part(topic, 1)), "index_name": named("index_name", index_name(topic)), "payload_type": payload_type(topic)}).where("payload <> ''")
 
 
 def windows(events: DataFrame, time_col: str, length: str, keys: list[str], value_col: str, slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -49,17 +61,46 @@ def deduplicated(events: DataFrame, keys: list[str], time_col: str, late: str =
     return events.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def tenant_batches(messages: DataFrame, tenant_col: str, max_messages: int, max_bytes: int, payload_col: str = "payload", order_col: str = "offset") -> DataFrame:
-    """Messages with batch_no: a tenant's messages in order, cut before a batch's count or bytes would pass the limits' multiples.
+def _numbered(n_keys: int, max_messages: int, max_bytes: int):
+    """Adds batch_no to Arrow batches (keys, ..., size) that come key by key, in order; what a key's open batch holds is carried from one Arrow batch on to the next."""
 
-    Within a micro-batch. Running sums go over a tenant's messages in order; time cuts come from the trigger.
-    """
-    from pyspark.sql import Window
+    def numbered(batches):
+        key, number, count, size = None, 0, 0, 0
+        for part in batches:
+            out = []
+            for *own, n in zip(*(part.column(k).to_pylist() for k in (*range(n_keys), part.num_columns - 1))):
+                if own != key:
+                    key, number, count, size = own, 0, 0, 0
+                out.append(number)
+                count, size = count + 1, size + (n or 0)
+                if count >= max_messages or size >= max_bytes:
+                    number, count, size = number + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.int64())], names=[*part.schema.names[:-1], "batch_no"])
+
+    return numbered
 
-    over = Window.partitionBy(tenant_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    count = F.count(F.lit(1)).over(over)
-    size = F.coalesce(F.sum(F.octet_length(F.col(payload_col))).over(over), F.lit(0))
-    return messages.withColumn("batch_no", F.greatest(F.floor(count / max_messages), F.floor(size / max_bytes)))
+
+def tenant_batches(messages: DataFrame, tenant_col: str, max_messages: int, max_bytes: int, payload_col: str = "payload", order_col: str = "offset", buffers: tuple = ()) -> DataFrame:
+    """Messages with batch_no: a tenant's messages in order fill a batch until it holds max_messages, or max_bytes or more; then both counts start anew.
+
+    Within a micro-batch; time cuts come from the trigger. buffers names further columns, such as the Kafka partition, whose values fill batches of their
+    own: so one large tenant is spread over tasks. A task passes over its messages once and holds none of them.
+    """
+    keys = [tenant_col, *buffers]
+    rest = [c for c in messages.columns if c not in keys]
+    rows = messages.select(*keys, *rest, F.octet_length(F.col(payload_col)).alias("__size"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, order_col)
+    schema = StructType([*(rows.schema[c] for c in (*keys, *rest)), StructField("batch_no", LongType())])
+    return rows.mapInArrow(_numbered(len(keys), max_messages, max_bytes), schema).select(*messages.columns, "batch_no")
+
+
+def merged_messages(*parts: DataFrame) -> DataFrame:
+    """Messages of several sources, each row with the id of the message that it came in, as _source_message_id; columns that a source lacks are null."""
+    out = None
+    for part in parts:
+        one = part.withColumn("_source_message_id", F.col("message_id").cast("string"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def batch_records(batched: DataFrame, tenant_col: str, payload_col: str = "payload") -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from spanlake.functions import attributes, evolution, names
 from spanlake.functions.attributes import flatten
-from spanlake.operators import catalog, indexes, maintenance, monitor, otlp, validation
+from spanlake.operators import catalog, index_store, indexes, maintenance, monitor, otlp, validation
 from spanlake.operators import query as q
-from spanlake.operators.filters import And, Contains, Equals, GreaterThan, In, LessThan, Not, NotEquals, NotIn, Or, Regex, TimeRange
+from spanlake.operators.filters import And, Between, Contains, Equals, GreaterThan, In, LessThan, Not, NotEquals, NotIn, Or, Regex, TimeRange
 from spanlake.operators.search import postings, search
 from spanlake.plans import sqlapi
 from spanlake.sources import storage
@@ -23,19 +23,24 @@ def text(value):
     return {"stringValue": value}
 
 
+def number(value):
+    return {"intValue": value}
+
+
 def trace(**span):
+    """A payload with one span, a checkout that calls a shop's payment service; what is given replaces the span's own."""
     one = {
-        "traceId": "a" * 32,
-        "spanId": "b" * 16,
-        "name": "test-operation",
-        "kind": 2,
-        "startTimeUnixNano": "1700000000000000000",
-        "endTimeUnixNano": 1700000001000000000,
-        "attributes": [{"key": "http.method", "value": text("GET")}, {"key": "http.status_code", "value": {"intValue": "200"}}],
-        "status": {"code": 1},
+        "traceId": "0af7651916cd43dd8448eb211c80319c",
+        "spanId": "b7ad6b7169203331",
+        "name": "POST /pay",
+        "kind": 3,
+        "startTimeUnixNano": "1717400000250000000",
+        "endTimeUnixNano": 1717400002250000000,
+        "attributes": [{"key": "http.route", "value": text("/pay/{id}")}, {"key": "http.status_code", "value": number("402")}],
+        "status": {"code": 1, "message": "declined"},
     } | span
-    resource = {"attributes": [{"key": "service.name", "value": text("test-service")}, {"key": "service.version", "value": text("1.0.0")}]}
-    return {"resourceSpans": [{"resource": resource, "scopeSpans": [{"scope": {"name": "test-scope", "version": "1.0"}, "spans": [one]}]}]}
+    shop = {"attributes": [{"key": "service.namespace", "value": text("shop")}, {"key": "service.name", "value": text("checkout")}]}
+    return {"resourceSpans": [{"resource": shop, "scopeSpans": [{"scope": {"name": "payments", "version": "9"}, "spans": [one]}]}]}
 
 
 def messages(spark, *documents):
@@ -45,16 +50,32 @@ def messages(spark, *documents):
 def test_one_span(spark):
     (row,) = otlp.spans(messages(spark, trace())).collect()
     assert len(SPAN_SCHEMA) == 54 and len(row) == 54
-    want = {"trace_id": "a" * 32, "duration_nanos": 1_000_000_000, "latency_ms": 1000.0, "http_status_code": 200, "is_error": False, "service_name": "test-service", "has_events": False, "event_count": 0, "events": None, "links": None, "scope_attributes": None, "parent_span_id": None, "span_kind": 2, "scope_name": "test-scope", "service_version": "1.0.0"}
+    want = {"trace_id": "0af7651916cd43dd8448eb211c80319c", "span_kind": 3, "duration_nanos": 2_000_000_000, "latency_ms": 2000.0, "http_status_code": 402, "http_route": "/pay/{id}", "is_error": True, "service_name": "checkout", "service_namespace": "shop", "scope_version": "9", "status_message": "declined", "has_events": False, "event_count": 0, "events": None, "links": None, "scope_attributes": None, "parent_span_id": None}
     assert {k: row[k] for k in want} == want
-    assert row["span_attributes"] == {"http.method": "GET", "http.status_code": "200"}
+    assert row["span_attributes"] == {"http.route": "/pay/{id}", "http.status_code": "402"}
+
+
+def test_several_resources_scopes_and_spans(spark):
+    """Every span has its own resource and scope; missing parts of a payload cost no span."""
+    spans = lambda *ids: [{"spanId": i} for i in ids]
+    document = {
+        "resourceSpans": [
+            {"resource": {"attributes": [{"key": "service_name", "value": text("a")}]}, "scopeSpans": [{"scope": {"name": "s1"}, "spans": spans("1", "2")}, {"spans": spans("3")}]},
+            {"scopeSpans": [{"scope": {"name": "s2"}, "spans": spans("4")}, {"scope": {"name": "s3"}}, {"scope": {"name": "s4"}, "spans": []}]},
+            {"resource": {}, "scopeSpans": None},
+        ]
+    }
+    got = sorted(tuple(r) for r in otlp.spans(messages(spark, document)).select("span_id", "service_name", "scope_name").collect())
+    assert got == [("1", "a", "s1"), ("2", "a", "s1"), ("3", "a", None), ("4", "unknown", "s2")]
 
 
 def test_span_defaults_and_errors(spark):
-    rows = otlp.spans(messages(spark, trace(kind=None, startTimeUnixNano="x", endTimeUnixNano=None, attributes=[{"key": "http.status_code", "value": {"intValue": 503}}], events=[{"name": "e"}]), trace(status={"code": 2}, attributes=[]))).collect()
+    nothing = trace(kind=None, startTimeUnixNano="x", endTimeUnixNano=None, status=None, attributes=[{"key": "http.status_code", "value": number(503)}], events=[{"name": "e"}])
+    rows = otlp.spans(messages(spark, nothing, trace(status={"code": 2}, attributes=[]), trace(attributes=[{"key": "exception.type", "value": text("E")}]), trace(attributes=[{"key": "http.status_code", "value": number(399)}]))).collect()
     assert (rows[0]["span_kind"], rows[0]["start_time_unix_nano"], rows[0]["duration_nanos"], rows[0]["is_error"], rows[0]["event_count"]) == (1, 0, 0, True, 1)
     assert rows[0]["events"] == '[{"name":"e"}]'
     assert rows[1]["is_error"] and rows[1]["span_attributes"] is None
+    assert rows[2]["is_error"] and not rows[3]["is_error"]
 
 
 def test_payload_forms(spark):
@@ -210,7 +231,7 @@ def test_bloom_has_no_false_negatives(spark):
 
 def test_validation(spark):
     spans = otlp.spans(messages(spark, trace(), trace(traceId="xyz", endTimeUnixNano="5")))
-    good, bad = validation.split(validation.validate(spans, validation.span_rules(10**9)))
+    good, bad = validation.split(validation.validate(spans, validation.span_rules(3 * 10**9)))
     assert good.count() == 1 and "errors" not in good.columns
     assert bad.first()["errors"] == ["trace_id: not hexadecimal", "trace_id: length is not 32", "span: ends before it starts"]
     logs = spark.createDataFrame([("WARNING", None), ("odd", datetime(2020, 1, 1)), ("info", datetime.now() + timedelta(days=3))], "severity_text string, timestamp timestamp")
@@ -258,9 +279,16 @@ def test_storage_and_sql(spark, tmp_path):
     assert storage.register(spark, root, "acme") == ["traces"]
     answer = sqlapi.search(spark, root, sqlapi.SearchQuery("SELECT n, v FROM traces ORDER BY n", limit=2, offset=2, client_id="acme"))
     assert answer.rows == [{"n": 3, "v": None}, {"n": 4, "v": 2.0}] and (answer.total_count, answer.has_more, answer.columns) == (5, True, ["n", "v"])
-    assert sqlapi.search(spark, root, sqlapi.SearchQuery("SELECT count(*) AS limit_free FROM traces", client_id="other")).rows == [{"limit_free": 1}]
-    with pytest.raises(ValueError, match="read"):
-        sqlapi.sql(spark, "DROP TABLE x")
+    assert sqlapi.search(spark, root, sqlapi.SearchQuery("SELECT count(*) AS limit_free FROM traces", limit=9, client_id="other")).rows == [{"limit_free": 1}]
+    last = sqlapi.search(spark, root, sqlapi.SearchQuery("SELECT n FROM traces ORDER BY n", limit=3, offset=4, client_id="acme"))
+    assert (last.rows, last.total_count, last.has_more) == ([{"n": 5}], 5, False)
+    whole = sqlapi.search(spark, root, sqlapi.SearchQuery("SELECT n FROM traces ORDER BY n", client_id="acme"))
+    assert (whole.rows, whole.total_count) == ([], None) and [json.loads(r[0])["n"] for r in whole.results.collect()] == [1, 2, 3, 4, 5]
+    other = sqlapi.search(spark, root, sqlapi.SearchQuery("SELECT n FROM traces", client_id="other"))  # its views don't replace the other search's
+    assert other.results.count() == 1 and whole.results.count() == 5
+    for query in (f"SELECT * FROM parquet.`{root}/traces`", f"SELECT 1 WHERE EXISTS (SELECT 1 FROM json.`{root}`)", "SELECT reflect('java.lang.System', 'nanoTime')"):
+        with pytest.raises(ValueError, match="only"):
+            sqlapi.search(spark, root, sqlapi.SearchQuery(query, limit=1, client_id="acme"))
     assert storage.project(df, ["n", "absent"]).columns == ["n"]
     maintenance.compact(spark, f"{root}/traces", f"{root}/compact", "timestamp", 1)
     assert spark.read.parquet(f"{root}/compact").count() == 6
@@ -268,6 +296,78 @@ def test_storage_and_sql(spark, tmp_path):
     assert spark.read.parquet(f"{root}/traces").count() == 3
 
 
+def test_only_reading_sql(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("three")
+    for writes in ("DROP TABLE x", "WITH q AS (SELECT 1 AS id) INSERT INTO t SELECT id FROM q", "FROM three INSERT INTO t SELECT id", "CREATE VIEW v AS SELECT 1", "SET a = 1", "CACHE TABLE three", f"INSERT OVERWRITE DIRECTORY '{tmp_path}/x' USING parquet SELECT 1"):
+        with pytest.raises(ValueError, match="read"):
+            sqlapi.sql(spark, writes)
+    with pytest.raises(ValueError, match="one SQL statement"):
+        sqlapi.sql(spark, "SELECT 1; SELECT 2")
+    for reads in ("SELECT id FROM three", "FROM three SELECT id", "(SELECT id FROM three);", "WITH q AS (SELECT * FROM three) SELECT id FROM q", "TABLE three"):
+        assert sqlapi.sql(spark, reads).count() == 3
+    assert sqlapi.sql(spark, "SHOW TABLES").count() > 0 and sqlapi.sql(spark, "EXPLAIN SELECT 1").count() == 1 and sqlapi.sql(spark, "DESCRIBE three").count() == 1
+
+
+def test_index_store(spark, tmp_path):
+    """Built for new files alone, published, combined, withdrawn, and used to read fewer files with the same rows."""
+    root, at = str(tmp_path / "lake"), datetime(2024, 5, 1)
+    rows = lambda days: spark.createDataFrame([(f"c{i % 2}", at + timedelta(days=d, hours=i % 24), d * 100 + i, float(i), "x" if i % 7 else "rare", f"word{i % 5} text") for d in days for i in range(40)], "client_name string, timestamp timestamp, n long, v double, kind string, body string")
+    plan = index_store.Plan(zones=("n", "v"), blooms=("n", "v"), bitmaps=("kind",), texts=("body",), rows=200)
+    storage.write(rows(range(3)), root, "logs", "timestamp")
+    files = lambda condition, **more: index_store.paths_for(spark, root, "logs", condition, **more)
+    assert index_store.files(spark, root) is None and len(files(Equals("n", 5))) == 6
+    assert index_store.build(spark, root, "logs", plan) == 6 and index_store.build(spark, root, "logs", plan) == 0
+    assert len(files(Equals("n", 105))) == 1 and len(files(Equals("v", 7))) == 3 and len(files(Equals("v", 7), tenant="c0")) == 0
+    assert len(files(Between("n", 90, 110))) == 2 and len(files(Or([Equals("n", 1), Equals("n", 201)]))) == 2 and len(files(GreaterThan("n", 10), until=at + timedelta(hours=30))) == 4
+    storage.write(rows([3]), root, "logs", "timestamp")
+    assert len(files(Equals("n", 105))) == 3  # the two new ones might hold it
+    assert index_store.build(spark, root, "logs", plan) == 2 and len(files(Equals("n", 105))) == 1
+
+    def same(*conditions):
+        data = storage.read(spark, root, "logs")
+        for condition in conditions or (And([Equals("kind", "rare"), Or([Between("n", 100, 130), Equals("n", 7)])]),):
+            got = index_store.read(spark, root, "logs", condition)
+            assert sorted(r["n"] for r in got.collect()) == sorted(r["n"] for r in data.where(condition.column()).collect())
+
+    same(Equals("kind", "rare"), In("n", [3, 303]), Or([Between("n", 10, 12), GreaterThan("n", 330)]), Not(Equals("n", 5)), Equals("v", 7))
+    by_level = lambda: {(r["level"], r["partition"]): r["files"] for r in index_store.coverage(spark, root, "logs", "c0").collect()}
+    assert set(by_level()) == {("hour", f"2024-05-0{d}-00") for d in range(1, 5)}
+    assert index_store.combine_day(spark, root, "logs", "2024-05-02") == 2 and index_store.combine_day(spark, root, "logs", "2024-06-01") == 0
+    assert ("day", "2024-05-02") in by_level() and ("hour", "2024-05-02-00") not in by_level()
+    kinds = index_store.index_rows(spark, root, "zone", "logs", "c0").where("column = 'n'").select("level", "partition").distinct().collect()
+    assert sorted(tuple(r) for r in kinds) == [("day", "2024-05-02"), ("hour", "2024-05-01-00"), ("hour", "2024-05-03-00"), ("hour", "2024-05-04-00")]
+    assert index_store.index_rows(spark, root, "postings", "logs").where("token = 'word3'").count() == 32
+    same()
+    index_store.combine_day(spark, root, "logs", "2024-05-02")  # again: the later one counts
+    assert by_level()["day", "2024-05-02"] == 1
+    same()
+    index_store.withdraw(spark, root, [r["snapshot_id"] for r in index_store.snapshots(spark, root).collect()])
+    assert ("hour", "2024-05-02-00") in by_level()
+    same()
+    # a run that broke off before its last step
+    index_store._append(index_store._stored(spark, root, "bloom", "logs").withColumn("run", F.lit("broken")), f"{root}/_index/bloom", "tenant", "signal", "level", "partition")
+    same()
+
+
+def test_index_values_of_any_type(spark):
+    """Values are looked up as the column's type writes them, whatever type they are given in."""
+    df = spark.createDataFrame([("f", 0, 7.0, True, datetime(2024, 1, 1)), ("g", 1, 8.5, False, datetime(2024, 1, 2, 3))], "file string, row long, d double, b boolean, t timestamp")
+    bits, hashes = indexes.bloom_size(10)
+    for name, kind, value, file in (("d", "double", 7, "f"), ("b", "boolean", True, "f"), ("t", "timestamp", datetime(2024, 1, 2, 3), "g"), ("t", "timestamp", datetime(2024, 1, 1), "f")):
+        filters = indexes.bloom(df, F.col("file"), name, bits, hashes)
+        assert [r[0] for r in indexes.bloom_files(filters, value, bits, hashes, kind).collect()] == [file]
+        maps = indexes.bitmap(df, F.col("file"), F.col("row"), name)
+        files = df.select("file")
+        assert [r[0] for r in indexes.prune(files, Equals(name, value), None, {name: (filters, bits, hashes)}, {name: maps}, {name: kind}).collect()] == [file]
+        assert [(r["file"], r["row_index"]) for r in indexes.bitmap_rows(maps, value, kind).collect()] == [(file, "fg".index(file))]
+    blocks = indexes.zone_map(df.unionByName(df.withColumn("row", F.col("row") + 100)), F.lit("x"), ["d"], F.floor(F.col("row") / 100))
+    assert sorted((r["block"], r["min_number"], r["max_number"]) for r in blocks.collect()) == [(0, 7.0, 8.5), (1, 7.0, 8.5)]
+    assert indexes.prune(spark.createDataFrame([("x",)], "file string"), Between("d", 9, 10), blocks).count() == 0
+    many = spark.range(70_000).select(F.lit("f").alias("file"), F.col("id").alias("row"), (F.col("id") % 1000).alias("v"))
+    rows = indexes.bitmap_rows(indexes.bitmap(many, F.col("file"), F.col("row"), "v"), 999)
+    assert sorted(r["row_index"] for r in rows.collect()) == list(range(999, 70_000, 1000))
+
+
 def test_catalog(spark):
     t = datetime(2024, 1, 1)
     files = spark.createDataFrame([("a", "acme", "logs", t, t + timedelta(hours=1), t, t), ("b", "acme", "logs", t + timedelta(hours=2), t + timedelta(hours=3), None, t + timedelta(hours=1))], "file_ulid string, tenant string, signal string, min_ts timestamp, max_ts timestamp, indexed_at timestamp, created_at timestamp")
@@ -329,5 +429,50 @@ def test_batches(spark):
     df = spark.createDataFrame([("a", i, "t", "x" * 10) for i in range(5)] + [("b", 9, "t", "y")], "client string, offset long, topic string, payload string")
     records = pipelines.batch_records(pipelines.tenant_batches(df, "client", 2, 1_000), "client")
     assert sorted((r["client_id"], r["message_count"], r["first_offset"], r["last_offset"]) for r in records.collect()) == [("a", 1, 4, 4), ("a", 2, 0, 1), ("a", 2, 2, 3), ("b", 1, 9, 9)]
-    kafka = spark.createDataFrame([("v1.acme.logs", b"{}"), ("v1.acme.traces", b"")], "topic string, value binary")
-    assert [(r["client_name"], r["payload_type"]) for r in pipelines.with_topic(kafka).collect()] == [("acme", "logs")]
+    headers = "array<struct<key:string,value:binary>>"
+    kafka = spark.createDataFrame([("v1.acme.logs", b"{}", [("client_name", b"old"), ("client_name", b"shop"), ("index_name", b"")]), ("v1.acme.traces", b"", None), ("v1.acme.metrics", b"{}", None)], f"topic string, value binary, headers {headers}")
+    assert [(r["client_name"], r["index_name"], r["payload_type"]) for r in pipelines.with_topic(kafka).collect()] == [("shop", "v1", "logs"), ("acme", "v1", "metrics")]
+    assert [r["client_name"] for r in pipelines.with_topic(kafka.drop("headers")).collect()] == ["acme", "acme"]
+
+
+def test_batches_start_anew_at_each_flush(spark):
+    """A message far over the limit ends its own batch; those behind it fill theirs as if it had not been."""
+    sizes = [3, 1000] + [1] * 250
+    rows = spark.createDataFrame([(c, p, i, "x" * n) for c in ("a", None) for p in (0, 1) for i, n in enumerate(sizes)], "client string, part int, offset long, payload string")
+    got = pipelines.tenant_batches(rows, "client", 100, 100, buffers=("part",)).collect()
+    assert len(got) == len(rows.collect())
+    want, number, count, size = [], 0, 0, 0
+    for n in sizes:
+        want.append(number)
+        count, size = count + 1, size + n
+        if count >= 100 or size >= 100:
+            number, count, size = number + 1, 0, 0
+    for c in ("a", None):
+        for p in (0, 1):
+            assert [r["batch_no"] for r in sorted((r for r in got if r["client"] == c and r["part"] == p), key=lambda r: r["offset"])] == want
+
+
+def test_bronze(spark, tmp_path):
+    kept = storage.bronze(spark.createDataFrame([("a",), (None,), ("b",)], "payload string"))
+    kept.withColumn("payload", F.when(F.col("payload") == "b", "c").otherwise(F.col("payload"))).write.parquet(str(tmp_path / "b"))
+    good, damaged = storage.replay(spark, str(tmp_path / "b"))
+    assert sorted(str(r[0]) for r in good.collect()) == ["None", "a"] and [r["payload"] for r in damaged.collect()] == ["c"]
+    assert storage.spread(kept).rdd.getNumPartitions() >= 4
+
+
+def test_nested_values(spark):
+    nested = {"arrayValue": {"values": [{"arrayValue": {"values": [{"arrayValue": {"values": [{"arrayValue": {"values": [text("deep")]}}]}}, text('q"')]}}, {"kvlistValue": {"values": [{"key": "a", "value": number(1)}, {"key": "b"}]}}, {"bytesValue": "eA=="}, {}]}}
+    rows = spark.createDataFrame([(json.dumps({"v": v}),) for v in (nested, {"boolValue": True}, {"doubleValue": 1.5}, {})], "j string")
+    from spanlake.sources.schemas import VALUE
+
+    got = rows.select(attributes.value_text(F.from_json("j", f"v {VALUE}")["v"]).alias("t"), attributes.value_json(F.from_json("j", f"v {VALUE}")["v"]).alias("j")).collect()
+    assert got[0]["t"] == '[[[{"values":[{"stringValue":"deep"}]}],q"],kvlist,eA==,]'
+    assert json.loads(got[0]["j"]) == [[[{"values": [{"stringValue": "deep"}]}], 'q"'], {"a": 1, "b": None}, "eA==", None]
+    assert [r["j"] for r in got[1:]] == ["true", "1.5", None]
+
+
+def test_attribute_maps_with_repeats(spark):
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    pairs = [{"key": f"k{i % 90}", "value": text(str(i))} for i in range(300)] + [{"key": "k1", "value": text("")}, {"value": text("no key")}]
+    (row,) = otlp.spans(messages(spark, trace(attributes=pairs))).select("span_attributes").collect()
+    assert row[0] == {f"k{i % 90}": str(i) for i in range(300)}
