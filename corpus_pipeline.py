@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm.decontamination import decontaminate
+from spanlake.llm.frames import drop, scratch
 from spanlake.llm.jaccard_join import one_of_each_group
 from spanlake.llm.line_dedup import line_dedup
 from spanlake.llm.mixing import Mixture
@@ -50,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; what each keeps is a Parquet table in the shared checkpoint folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies STAGES to documents; what each keeps is a Parquet table in the shared checkpoint folder, until the next one's is whole."""
+    root = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            drop(spark, f"{root}/{before}")
+        before = name
     return docs
