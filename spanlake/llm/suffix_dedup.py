@@ -39,7 +39,7 @@ GRAM = 16
 #: Sampled places a range of suffixes, and ranges at most; more buckets than that split ranges by the hash of a suffix's gram.
 SAMPLES, RANGES = 32, 2048
 #: Windows whose synchronising positions are found at once, and low bits of hashes that give way to places.
-BLOCK, PLACE_BITS = 1 << 20, np.uint64(21)
+BLOCK, PLACE_BITS = 1 << 18, np.uint64(21)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -50,14 +50,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _windows(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one text that have one synchronising position: first window, how many, that position, and the text's number.
+def _windows(data: np.ndarray, limits: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows of one text that have one synchronising position, block by block: first window, how many, that position, and the text's number.
 
     limits are the places where texts end.
     """
     reach = length - GRAM + 1
     low = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
-    out = []
     for at in range(0, max(0, len(data) - length + 1), BLOCK):
         upto = min(at + BLOCK, len(data) - length + 1)
         hashes = _gram_hashes(data[at : upto + length - 1])
@@ -68,9 +67,7 @@ def _windows(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.ndar
         whole = window + length <= limits[owner]
         breaks = np.append(True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))
         first, count = runs(whole, breaks)
-        out.append((first + at, count, anchor[first], owner[first]))
-    empty = np.zeros(0, dtype=np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (empty,) * 4
+        yield first + at, count, anchor[first], owner[first]
 
 
 def _shared(a: bytes, b: bytes, since: int = 0) -> int:
@@ -216,19 +213,29 @@ def _sorted_records(part: pa.RecordBatch, length: int) -> tuple[list, list]:
     data = b"".join(texts)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     limits = np.cumsum(sizes)
-    at, count, anchor, owner = _windows(np.frombuffer(data, dtype=np.uint8), limits, length)
-    places = anchor - (limits - sizes)[owner]
-    records = sorted((data[x:e], data[a:x][::-1], d, p) for a, x, e, d, p in zip(at.tolist(), anchor.tolist(), (at + count + length - 1).tolist(), doc[owner].tolist(), places.tolist()))
-    distinct, spans, alone = [], [], True
-    for one in records:
-        if distinct and distinct[-1][:2] == one[:2]:
-            again = (distinct[-1], one) if alone else (one,)
-            spans += [(d, p - len(left), len(left) + len(text)) for text, left, d, p in again]
-            alone = False
+    seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+    twice: set[tuple[bytes, bytes]] = set()
+    spans: list[list[int]] = []
+
+    def add(d: int, first: int, n: int) -> None:
+        if spans and spans[-1][0] == d and spans[-1][1] <= first <= spans[-1][1] + spans[-1][2]:  # a text of one letter has a record a byte
+            spans[-1][2] = max(spans[-1][2], first + n - spans[-1][1])
         else:
-            distinct.append(one)
-            alone = True
-    shares = [0] + [_shared(a[0], b[0]) for a, b in zip(distinct, distinct[1:])]
+            spans.append([d, first, n])
+
+    for at, count, anchor, owner in _windows(np.frombuffer(data, dtype=np.uint8), limits, length):
+        places = anchor - (limits - sizes)[owner]
+        for a, x, e, d, p in zip(at.tolist(), anchor.tolist(), (at + count + length - 1).tolist(), doc[owner].tolist(), places.tolist()):
+            one = data[x:e], data[a:x][::-1]
+            if one not in seen:
+                seen[one] = d, p
+                continue
+            if one not in twice:
+                twice.add(one)
+                add(seen[one][0], seen[one][1] - (x - a), e - a)
+            add(d, p - (x - a), e - a)
+    distinct = sorted((*one, *where) for one, where in seen.items())
+    shares = [0, *(_shared(a[0], b[0]) for a, b in zip(distinct, distinct[1:]))][: len(distinct)]
     spans += matches(((h, *r) for h, r in zip(shares, distinct)), length)
     return distinct, spans
 

@@ -14,12 +14,13 @@ from spanlake.llm.arrays import equal_groups, sliding_min, words_of
 from spanlake.llm.components import connected_components
 from spanlake.llm.decontamination import contaminated, decontaminate
 from spanlake.llm.embeddings import embedding_components
-from spanlake.llm.jaccard_join import Bands, jaccard_components, one_of_each_group
+from spanlake.llm.jaccard_join import Bands, _confirmed, jaccard_components, one_of_each_group
 from spanlake.llm.line_dedup import line_dedup
 from spanlake.llm.mixing import Mixture
 from spanlake.llm.secrets import Novelty, secret_spans
 from spanlake.llm.substring_dedup import substring_dedup
-from spanlake.llm.suffix_dedup import _shared, merged, suffix_dedup
+from spanlake.llm import suffix_dedup as sx
+from spanlake.llm.suffix_dedup import Run, _shared, matches, merged, suffix_dedup
 from spanlake.llm.url_filter import judge_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,11 +88,34 @@ def test_loser_tree():
     rng = random.Random(3)
     for n in (1, 2, 3, 7):
         parts = [sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 40))}) for _ in range(n)]
-        shared = [[0] + [_shared(a, b) for a, b in zip(p, p[1:])] for p in parts]
-        out = list(merged(parts, shared))
-        got = [parts[r][k] for r, k, _ in out]
+        runs = [Run(Run.packed([(x, x[::-1], r, k) for k, x in enumerate(p)])) for r, p in enumerate(parts)]
+        out = list(merged(runs))
+        got = [x for _, x, *_ in out]
         assert got == sorted(x for p in parts for x in p)
-        assert [h for _, _, h in out[1:]] == [_shared(a, b) for a, b in zip(got, got[1:])]
+        assert all(parts[r][k] == x and left == x[::-1] for _, x, left, r, k in out)
+        assert [h for h, *_ in out[1:]] == [_shared(a, b) for a, b in zip(got, got[1:])]
+    assert list(merged([])) == list(merged([Run(Run.packed([]))] * 3)) == []
+
+
+def test_matches_by_prefixes_on_both_sides(monkeypatch):
+    """What each record shares with any other one, found from neighbours alone, against all pairs."""
+    monkeypatch.setattr(sx, "GRAM", 1)
+    rng = random.Random(4)
+    for length in (5, 9):
+        for _ in range(60):
+            side = lambda most: bytes(rng.choice(b"aab") for _ in range(rng.randint(1, most)))
+            records = sorted((side(length), side(length - 1), d, 100) for d in range(rng.randint(0, 25)))
+            shares = [0] + [_shared(a[0], b[0]) for a, b in zip(records, records[1:])]
+            got = {d: set() for _, _, d, _ in records}
+            for d, first, n in matches(((h, *r) for h, r in zip(shares, records)), length):
+                got[d] |= set(range(first, first + n - length + 1))
+            for x, left, d, place in records:
+                want = set()
+                for y, other, e, _ in records:
+                    p, q = _shared(x, y), _shared(left, other)
+                    if d != e and p + q >= length:
+                        want |= set(range(place - q, place + p - length + 1))
+                assert got[d] == want
 
 
 def test_components(spark):
@@ -177,6 +201,44 @@ def test_quality(spark):
     assert ql.score(empty(spark), machine).count() == 0
 
 
+def plain_features(text, n_chars):
+    """The hashed words and statistics of a text, one after the other, by definition."""
+    raw = (text or "").encode()
+    words = bytes(c + 32 if 65 <= c <= 90 else c for c in raw).split()
+    slots = Counter(int(words_of([w]).hashes()[0] >> np.uint64(64 - ql.BITS)) for w in words)
+    values = {k: 1 + math.log(n) for k, n in slots.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    kind = lambda c: 0 if c in b" \t\n\x0b\f\r" else 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in b".,;:!?'\"-()" else 7 if c < 32 else 6 if c >= 128 else 5
+    kinds = Counter(map(kind, raw))
+    lines, n = raw.split(b"\n"), len(words)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / max(1, n)
+    stats = [kinds[k] / max(1, len(raw)) for k in range(8)]
+    stats += [math.log1p(len(lines)), len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines)), raw.count(b" | ") / max(1, n), kinds[2] / max(1, kinds[1] + kinds[2]), math.log1p(n), len(slots) / max(1, n), mean]
+    stats += [math.sqrt(max(0, sum(x * x for x in sizes) / max(1, n) - mean * mean)), math.log1p(max(0, n_chars or 0))]
+    return {k: v / norm for k, v in values.items()}, stats
+
+
+def test_scores_from_plain_features(spark):
+    """Each score from features worked out by hand and the sum over all pairs; the label, language, source and id change nothing."""
+    rng = np.random.default_rng(8)
+    size = (1 << ql.BITS) + ql.N_STATS
+    machine = ql.Machine(0.2, rng.normal(0, 0.3, size).astype(np.float32), rng.normal(0, 0.1, (size, ql.FACTORS)).astype(np.float32), rng.normal(size=ql.N_STATS), rng.uniform(0.5, 2, ql.N_STATS))
+    rows = list(enumerate([*texts()[:12], None, "", "A b a | B\nA b a | B\n\x01é", "x" * 3000]))
+    df = table(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in ql.score(df, machine).collect()}
+    for i, text in rows:
+        words, stats = plain_features(text, len(text or ""))
+        x = {**words, **{(1 << ql.BITS) + k: np.clip((v - machine.centre[k]) / machine.scale[k], -3, 3) * 0.3 for k, v in enumerate(stats)}}
+        keys = list(x)
+        w, v, values = machine.w[keys].astype(float), machine.v[keys].astype(float), np.array([x[k] for k in keys])
+        gram = (v @ v.T) * np.outer(values, values)
+        margin = machine.bias + w @ values + (gram.sum() - np.trace(gram)) / 2
+        assert math.isclose(got[i], 1 / (1 + math.exp(-margin)), abs_tol=1e-4)
+    other = df.withColumns({"doc_id": F.col("doc_id") + 100_000, "lang": F.lit("xx"), "source": F.lit(None).cast("string")})
+    assert {r["doc_id"] - 100_000: r["score"] for r in ql.score(other, machine).collect()} == got
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(0)
     m = ql.Machine(0.3, rng.normal(size=20).astype(np.float32), rng.normal(size=(20, 8)).astype(np.float32), np.zeros(1), np.ones(1))
@@ -234,6 +296,33 @@ def test_mixing(spark):
     assert Mixture(spark.createDataFrame([], "doc_id long, text string, source string")).taken().count() == 0
 
 
+def test_mixing_takes_what_the_slots_name(spark):
+    """taken, counted slot by slot from where each row lies in its source; and the shards' counts, against a uniform draw."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randint(0, 90), rng.choice("abc")) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("rank", "size", "hash", "index", "begin", "slot", "group", "id", "length", "digest"):
+        df = df.withColumn(name, F.lit("clash"))
+    mixture = Mixture(df, block=8, shard_slots=200)
+    slots = mixture.slots.collect()
+    uses = Counter((r["rank"], r["index"]) for r in slots)
+    want = {}
+    for r in mixture.documents.collect():
+        inside = range(r["begin"], r["begin"] + r["size"])
+        want[r["doc_id"]] = sum(uses[r["rank"], w // 8] for w in inside)
+    assert {r["doc_id"]: r["taken"] for r in mixture.taken().collect()} == want and sum(want.values()) > 0
+    assert mixture.blocks(df).agg(F.sum("n_words")).first()[0] == sum(want.values())
+    counts = Counter((r["rank"], r["shard"]) for r in slots)
+    assert counts == {(r["rank"], r["shard"]): r["n"] for r in mixture.counts.collect()}
+    shards = max(k for _, k in counts) + 1
+    assert shards > 8
+    for rank in {k for k, _ in counts}:
+        every = [counts[rank, k] for k in range(shards)]
+        mean = sum(every) / shards
+        chi = sum((n - mean) ** 2 / mean for n in every)  # of shards - 1 degrees of freedom
+        assert 0.2 * shards < chi < 3 * shards
+
+
 def test_mixing_gives_each_row_its_own_text(spark):
     """Null and repeated ids of one size, at other places and in another order too."""
     rows = [(i, " ".join(f"{name}{k}" for k in range(20)), "a") for i, name in ((None, "p"), (None, "q"), (None, "r"), (7, "s"), (7, "t"), (-(1 << 63), "u"), (None, "p"))]
@@ -361,11 +450,56 @@ def removed_bytes(rows, length):
 
 
 @pytest.mark.parametrize("length", [400, 60, 16])
-def test_suffix_dedup(spark, docs, length):
+def test_suffix_dedup(spark, docs, length, monkeypatch):
+    if length == 60:  # more buckets than ranges
+        monkeypatch.setattr(sx, "RANGES", 2)
     got = sorted(tuple(r)[:4] + (bytes(r[4]),) for r in suffix_dedup(docs.repartition(3), length).collect())
     assert got == removed_bytes([(i, (t or "").encode()) for i, t in enumerate(texts())], length)
 
 
+def test_windows_in_blocks(monkeypatch):
+    """Synchronising positions do not depend on where blocks begin."""
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (900, 10, 0, 2000, 61)]
+    data, limits = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
+
+    def anchors():
+        found = sx._windows(data, limits, 60)
+        return {w: (x, o) for block in found for a, n, x, o in zip(*(v.tolist() for v in block)) for w in range(a, a + n)}
+
+    whole = anchors()
+    assert set(whole) == {b - len(t) + k for t, b in zip(texts, limits.tolist()) for k in range(len(t) - 59)}
+    monkeypatch.setattr(sx, "BLOCK", 100)
+    assert anchors() == whole
+
+
+def test_suffix_dedup_registered_table(spark):
+    """Against all byte strings of 400, on the registered query's whole table."""
+    import hashlib
+
+    from spanlake.llm.queries import op6_suffix_dedup
+    from tests.conftest import SMALL
+
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    seen, twice = set(), set()
+    for _, t in rows:
+        for k in range(len(t) - 399):
+            h = hashlib.blake2b(t[k : k + 400], digest_size=16).digest()
+            (twice if h in seen else seen).add(h)
+    want = {}
+    for i, t in rows:
+        gone = np.zeros(len(t) + 1, dtype=np.int64)
+        for k in range(len(t) - 399):
+            if hashlib.blake2b(t[k : k + 400], digest_size=16).digest() in twice:
+                gone[k] += 1
+                gone[k + 400] -= 1
+        gone = np.cumsum(gone)[: len(t)] > 0
+        spans = int((gone & ~np.append(False, gone[:-1])).sum()) if len(t) else 0
+        want[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, dtype=np.uint8)[~gone])).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in op6_suffix_dedup(spark, SMALL).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 0
+
+
 def test_suffix_dedup_odd_rows(spark):
     got = sorted((str(r[0]), r[1], r[2], r[3]) for r in suffix_dedup(odd(spark), 100).collect())
     assert got == [("1", 389, 389, 1), ("1", 389, 389, 1), ("2", 389, 389, 1), ("3", 0, 0, 0), ("3", 180, 180, 1), ("None", 389, 0, 0)]
@@ -401,6 +535,60 @@ def test_embeddings(spark):
     assert embedding_components(df.limit(0)).count() == 0
 
 
+def linked_vectors(rows, threshold=0.95):
+    """(n_links, component, kept) of each id of usable vectors, by all pairs."""
+    ids = [i for i, _ in rows]
+    m = np.array([v for _, v in rows], dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    link = m @ m.T >= threshold
+    np.fill_diagonal(link, False)
+    label = {i: i for i in ids}
+    while True:
+        after = {i: min([label[i], *(label[ids[j]] for j in np.flatnonzero(link[k]))]) for k, i in enumerate(ids)}
+        if after == label:
+            return {i: (int(link[k].sum()), label[i], label[i] == i) for k, i in enumerate(ids)}
+        label = after
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_embeddings_in_tiles(spark, monkeypatch, tile):
+    """Cells and tiles of a few vectors each; copies, groups about the threshold, and vectors of many components."""
+    from spanlake.llm import embeddings as module
+
+    monkeypatch.setattr(module, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    rows = []
+    for width in (24,) if tile == 16 else (1500,):
+        base = rng.normal(size=(6, width))
+        for i in range(160 if tile == 16 else 60):
+            near = base[i % 6] + rng.normal(size=width) * rng.choice([0, 0.1, 0.22, 0.23, 0.24])
+            rows.append((i, near.tolist()))
+    rows += [(1000 + i, rows[3][1]) for i in range(40)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == linked_vectors(rows)
+
+
+def test_int8_bounds():
+    """No product of codes is further from the cosine than its bound."""
+    from spanlake.llm import embeddings as module
+
+    rng = np.random.default_rng(3)
+    for width in (2, 64, 700):
+        unit = module._units(rng.normal(size=(200, width)) * rng.choice([0.01, 1, 30], size=(200, width)))[0]
+        q, scale, error = module._quantised(unit)
+        near = (q.astype(float) * scale[:, None]) @ (q.astype(float) * scale[:, None]).T
+        bound = error[:, None] + (1 + error[:, None]) * error[None, :] + module.ROUNDING
+        assert q.dtype == np.int8 and (np.abs(near - unit @ unit.T) <= bound).all() and bound.max() < 0.2
+
+
+def test_embeddings_registered_table(spark):
+    from spanlake.llm.queries import op7_embedding_dedup
+    from tests.conftest import LARGER
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{LARGER}/embeddings.parquet").collect()]
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op7_embedding_dedup(spark, LARGER).collect()} == linked_vectors(rows)
+
+
 def test_embeddings_of_repeated_ids(spark):
     """Each distinct vector of an id counts, whatever invalid ones it has beside."""
     x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
@@ -424,13 +612,73 @@ def test_urls(spark):
     assert {r["verdict"] for r in judge_urls(df.where("url LIKE '%org%'")).collect()} == {"allow"} and judge_urls(df.limit(0)).count() == 0
 
 
-def test_mined_url_rules(spark):
-    rows = [(i, f"http://m{i % 5}.example.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'es'}/p/{i}") for i in range(300)] + [(1000 + i, f"http://m{i}.example.org/{'en' if i % 2 else 'es'}/p/{i}") for i in range(20)]
-    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), confidence=0.6).collect()
-    labelled = [({*re.split(r"[/.:]+", u)} - {str(i)}, "block" if ".net/es" in u or "com/en" in u else "allow") for i, u in rows if i < 1000 and (".com" in u or ".net/es" in u)]
-    assert sum(r["rule"] is not None for r in got) == len(labelled)
-    mined = [r for r in got if r["rule"] is None and r["confidence"] is not None]
-    assert mined and all(r["confidence"] >= 0.6 for r in mined)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def url_parts(url):
+    """(host, path, tokens), read off the contract and the operator's docstring."""
+    rest = (url or "").partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    query = re.search(r"^[^?#]*\?([^#]*)", rest)
+    tokens = {f"host:{x}" for x in host.split(".") if x} | {"path:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+    tokens |= {"key:" + x.partition("=")[0] for x in (query[1] if query else "").split("&") if x}
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://", url or "")
+    tokens.add("scheme:" + (scheme[1] if scheme else ""))
+    return host, path, tokens | ({"fragment"} if "#" in (url or "") else set())
+
+
+def judged_urls(urls, support, confidence):
+    """(rule, verdict, confidence) of each URL: every combination of tokens is counted."""
+    from itertools import combinations
+
+    parts = [url_parts(u) for u in urls]
+    fits = [[(len(h + p), -k, v, h + p) for k, (v, h, p) in enumerate(URL_RULES) if (host == h or host.endswith("." + h)) and path.startswith(p)] for host, path, _ in parts]
+    known = [max(f)[2:] if f else None for f in fits]
+    labelled = [(t, k[0]) for (_, _, t), k in zip(parts, known) if k]
+    count, right = Counter(), Counter()
+    for tokens, verdict in labelled:
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                count[c] += 1
+                right[c, verdict] += 1
+    need = support * len(labelled)
+    rules = [(k / count[c], k / len(labelled), v, set(c)) for (c, v), k in right.items() if k >= need and k / count[c] >= confidence]
+    out = []
+    for (_, _, tokens), k in zip(parts, known):
+        best = max((r[:3] for r in rules if r[3] <= tokens), default=None)
+        out.append((k[1], k[0], None) if k else (None, best[2] if best else "allow", best[0] if best else None))
+    return out
+
+
+@pytest.mark.parametrize(("support", "confidence"), [(0.01, 0.8), (0.05, 0.6), (0.2, 0.95)])
+def test_mined_url_rules(spark, support, confidence):
+    rng = random.Random(7)
+    urls = [f"http{rng.choice(['', 's'])}://m{i % 5}.example.{'com' if i % 2 else 'net'}/{rng.choice(['en', 'es', 'fr', 'de'])}/p/{i}?id={i}{rng.choice(['', '&a=1&b=2', '&c=3', '#x'])}" for i in range(200)]
+    urls += [f"http{rng.choice(['', 's'])}://m{i}.example.org/{rng.choice(['en', 'es', 'fr'])}/p/{i}{rng.choice(['', '?a=1', '?b=1&c', '?id=1#', '?zz'])}" for i in range(60)] + [None, "", "x"]
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), support=support, confidence=confidence).collect()}
+    for i, (rule, verdict, sure) in enumerate(judged_urls(urls, support, confidence)):
+        assert (got[i]["rule"], got[i]["verdict"]) == (rule, verdict) and (sure is None) == (got[i]["confidence"] is None)
+        assert sure is None or math.isclose(sure, got[i]["confidence"])
+
+
+def test_urls_with_many_fixed_parameters(spark):
+    """Thirty keys that always come together are one item, not 2**30 combinations; a page with any of them has it."""
+    keys = "&".join(f"k{i}={i}" for i in range(30))
+    rows = [(i, f"http://a.net/{'es' if i % 2 else 'fr'}/x?{keys}") for i in range(100)] + [(i, f"http://b.com/x/{i}") for i in range(100, 200)] + [(200, "http://c.org/?k7"), (201, "http://c.org/?other")]
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[200] == ("block", 1.0) and got[201][1] is None
+
+
+def test_token_classes_are_confirmed(spark, monkeypatch):
+    from spanlake.llm import url_filter as module
+
+    pages = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["a", "b", "d"]), (2, ["c", "e"])], "page long, tokens array<string>")
+    assert {r["token"]: r["class"] for r in module.token_classes(pages, 0.1).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+    real = F.xxhash64
+    monkeypatch.setattr(module.F, "xxhash64", lambda *c: real(F.lit(0)))  # digests that tell nothing but parity
+    assert {r["token"]: r["class"] for r in module.token_classes(pages, 0.1).collect()} == {t: t for t in "abcde"}
 
 
 # 9
@@ -511,6 +759,54 @@ def test_jaccard_large_groups(spark):
     assert got == jaccard_labels(rows, 85, 4)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_link_by_a_structured_collision(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    one, other = thue_morse(1024)
+    rows = [(1, one), (2, other), (3, "x " * 30 + one), (4, "x " * 30 + other), (5, one.replace("a", "w ")), (6, other.replace("a", "w "))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(table(spark, rows)).collect()}
+    assert got == jaccard_labels(rows, 85, 4) and got[1][1] == 1 and got[2][1] == 2
+    rows = [(1, one + " " + "y " * 25), (2, other + " " + "z " * 25)]
+    assert {r[0]: tuple(r)[1:] for r in substring_dedup(table(spark, rows)).collect()} == removed_words(rows)
+    got = sorted(tuple(r)[:4] + (bytes(r[4]),) for r in suffix_dedup(table(spark, [(1, one), (2, other)]), 400).collect())
+    assert got == removed_bytes([(1, one.encode()), (2, other.encode())], 400)
+
+
+def test_links_are_confirmed_by_words(monkeypatch):
+    from spanlake.llm import jaccard_join as module
+
+    assert _confirmed(b"a b c d e F", b"A b\tc d e f", 100, 4) and not _confirmed(b"a b c d e f", b"a b c d e g", 85, 4)
+    assert _confirmed(b"one", b"ONE", 85, 4) and not _confirmed(b"one two", b"one", 85, 4)
+    monkeypatch.setattr(module, "short_hashes", lambda v, n: np.zeros(max(0, len(v) - n + 1), dtype=np.uint64))
+    assert not _confirmed(b"a b c d e f", b"g h i j k l", 85, 4)  # equal hashes, different words
+
+
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_large_groups_without_one_middle(spark, monkeypatch, pivots):
+    """Two groups of near copies that share passages, and a chain between them: pivots leave some over, which meet all others."""
+    from spanlake.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "PIVOTS", pivots)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    far = base[:100] + [f"v{i}" for i in range(100)]
+    rows = []
+    for i in range(160):
+        words = list(base if i % 2 else far)
+        for _ in range(rng.choice([0, 1, 3, 6])):
+            words[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + k, " ".join(base[: 200 - 4 * k] + far[200 - 4 * k :])) for k in range(26)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(table(spark, rows)).collect()}
+    assert got == jaccard_labels(rows, 85, 4)
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted((str(r[0]), r[1], str(r[2])) for r in jaccard_components(odd(spark)).collect())
     assert got == [("1", 97, "1"), ("1", 97, "1"), ("2", 97, "1"), ("3", 0, "3"), ("3", 1, "3"), ("None", 97, "None")]
@@ -519,6 +815,36 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_registered_table(spark):
+    from spanlake.llm.queries import op10_jaccard_join
+    from tests.conftest import SMALL
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op10_jaccard_join(spark, SMALL).collect()}
+    assert got == jaccard_labels(rows, 85, 4) and sum(i != c for i, (_, c) in got.items()) > 0
+
+
+def test_very_long_texts(spark):
+    """Texts of over 20 MB: a copy, a near copy, and one that is one word."""
+    words = [f"w{i * 2654435761 % 1000003:x}" for i in range(3_200_000)]
+    text = " ".join(words)
+    words[1_000_000] = "edited"
+    rows = [(1, text), (2, text), (3, " ".join(words)), (4, "x" * 21_000_000), (5, "short")]
+    assert len(text) > 20_000_000
+    df = table(spark, rows).repartition(2).cache()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()}
+    assert [got[i][1] for i in range(1, 6)] == [1, 1, 1, 4, 5] and got[1] == got[2] and got[4] == (1, 4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert got[2] == (3_200_000, 3_200_000) and got[3] == (3_200_000, 3_199_999 - 0) and got[4] == (1, 0)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup(df).select("doc_id", "n_removed").collect()}
+    assert got[1] == got[2] == len(text) and 0 < len(rows[2][1]) - got[3] < 20 and got[4] == 21_000_000 and got[5] == 0
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup(df).select("doc_id", "n_removed").collect()}
+    assert set(got.values()) == {0}
+    assert ql.score(df, ql.train(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))).count() == 5
+    assert {r["spans"] for r in secret_spans(df).select("spans").collect()} == {""}
+    df.unpersist()
+
+
 def test_bands():
     for percent in (50, 80, 85, 95):
         bands = Bands(percent)
