@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import tokens
+from spanlake.functions.text import TOKEN, tokens
 
 K1, B = 1.2, 0.75
+#: A query of so many characters at most has few enough tokens to broadcast what is known of each.
+BROADCAST_CHARS = 100_000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,16 +25,29 @@ def search(docs: DataFrame, query: str, id_col: str, text_col: str, k: int | Non
     Only the query's tokens are exploded, so the text is read once for the corpus statistics and once for the matches.
     """
     wanted = F.array_distinct(tokens(F.lit(query)))
+    length = F.regexp_count(F.lower(F.col(text_col)), F.lit(TOKEN))
+    corpus = docs.select(F.nullif(length, F.lit(0)).alias("length")).agg(F.count("length").alias("n"), F.avg("length").alias("mean"))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    corpus = words.agg(F.count_if(F.size("words") > 0).alias("n"), F.avg(F.when(F.size("words") > 0, F.size("words"))).alias("mean"))
     hits = words.select("id", F.size("words").alias("length"), F.explode_outer(F.filter("words", lambda w: F.array_contains(wanted, w))).alias("token")).where("token IS NOT NULL")
-    tf = hits.groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    terms = F.size(wanted)
-    # df and corpus have a row a query token and one row
-    scored = tf.join(F.broadcast(df), "token").join(F.broadcast(corpus))
+    return _ranked(hits.groupBy("id", "length", "token").agg(F.count("*").alias("tf")), corpus, query, k)
+
+
+def search_postings(posts: DataFrame, query: str, k: int | None = 100) -> DataFrame:
+    """Like search(), from postings (token, id, tf, length) and not from texts: only the query's tokens are read, and lengths for the corpus statistics."""
+    wanted = F.array_distinct(tokens(F.lit(query)))
+    lengths = posts.groupBy("id").agg(F.first("length").alias("length"))
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return _ranked(posts.where(F.array_contains(wanted, F.col("token"))).select("id", "length", "token", "tf"), corpus, query, k)
+
+
+def _ranked(tf: DataFrame, corpus: DataFrame, query: str, k: int | None) -> DataFrame:
+    """(id, score) from (id, length, token, tf) of the query's tokens and the corpus's size and mean length, one row."""
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))  # a row a query token
+    df = F.broadcast(df) if len(query) <= BROADCAST_CHARS else df
+    scored = tf.join(df, "token").join(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    terms = F.size(F.array_distinct(tokens(F.lit(query))))
     out = scored.groupBy("id").agg(F.sum(weight).alias("score"), F.count("*").alias("found")).where(F.col("found") == terms).select("id", "score")
     out = out.orderBy(F.desc("score"), "id")
     return out if k is None else out.limit(k)

@@ -12,7 +12,7 @@ from spanlake.functions.attributes import flatten
 from spanlake.operators import catalog, index_store, indexes, maintenance, monitor, otlp, validation
 from spanlake.operators import query as q
 from spanlake.operators.filters import And, Between, Contains, Equals, GreaterThan, In, LessThan, Not, NotEquals, NotIn, Or, Regex, TimeRange
-from spanlake.operators.search import postings, search
+from spanlake.operators.search import postings, search, search_postings
 from spanlake.plans import sqlapi
 from spanlake.sources import storage
 from spanlake.sources.schemas import SPAN_SCHEMA, UNIFIED_SCHEMA
@@ -198,7 +198,10 @@ def test_search(rows):
     assert [r["id"] for r in search(rows, "hello", "id", "message").collect()] == [1, 2]
     assert [r["id"] for r in search(rows, "world", "id", "message").collect()] == [4, 1]
     assert search(rows, "absent", "id", "message").count() == 0
-    assert postings(rows, "id", "message").where("token = 'world' AND id = 4").first()["tf"] == 2
+    posts = postings(rows, "id", "message")
+    assert posts.where("token = 'world' AND id = 4").first()["tf"] == 2
+    for text in ("hello", "world", "hello world", "absent"):
+        assert [(r["id"], round(r["score"], 9)) for r in search_postings(posts, text).collect()] == [(r["id"], round(r["score"], 9)) for r in search(rows, text, "id", "message").collect()]
 
 
 def test_indexes(spark):
