@@ -133,7 +133,7 @@ class Mixture:
         return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("col")
 
     def blocks(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The mixed words: (shard, slot, source, index, begin, doc_id, first, n_words, text), a row for each document's part of each slot.
+        """The mixed words: (shard, slot, source, index, begin, doc_id, first, n_words, text), a row for each document's part of each slot; docs are those of the mix.
 
         Slots of a shard are read in order of slot, a slot's parts in order of begin. Each row gives its own text, with a null or repeated id too.
         """

@@ -160,7 +160,9 @@ def is_held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Machine:
     """Fits on at most `rows` labelled rows that are not held out; without any, every text scores 0.5 and the machine's `fitted` is false.
 
-    Labels other than 0 and 1, null ids and null labels are left out; of repeated ids the largest label counts.
+    Labels other than 0 and 1, null ids and null labels are left out; of repeated ids the largest label counts. Chosen rows whose text is longer than
+    `chars` characters are left out of the fit, and so are those that no document has; null texts count as empty. Of documents that share a chosen id each
+    is a row of the fit. Only the named columns are read, so others may have any names.
     """
     labels = labels.select(column(id_col).cast("long").alias("doc_id"), column(label_col).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     labels = labels.where(~is_held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
