@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.filters import overlaps
@@ -17,6 +17,16 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *(F.col(f"best.{c}") for c in rows.columns if c not in keys)).select(rows.columns)
 
 
+def record(rows: DataFrame, path: str) -> None:
+    """Inserts or updates catalog rows: each is a new state, appended with the time of the change."""
+    rows.withColumn("changed_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of each of a catalog's rows."""
+    return latest(spark.read.parquet(path), keys, ["changed_at"]).drop("changed_at")
+
+
 def partitions_between(partitions: DataFrame, since: datetime, until: datetime) -> DataFrame:
     """Partitions that meet [since, until], oldest first."""
     return partitions.where(overlaps("start_time", "end_time", since, until)).orderBy("start_time")

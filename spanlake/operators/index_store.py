@@ -14,6 +14,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType, TimestampType
 
 from spanlake.functions.names import day_of, partition_key
 from spanlake.operators import indexes
@@ -38,6 +39,24 @@ class Plan:
     time_col: str = "timestamp"
 
 
+#: What is kept of a log in an index: times by range, names by value, the message by its words; resource and attributes are only stored.
+LOG_INDEX = StructType(
+    [
+        StructField("timestamp", TimestampType(), True, {"index": "range"}),
+        *(StructField(n, StringType(), True, {"index": "keyword"}) for n in ("trace_id", "span_id", "service_name")),
+        StructField("severity_text", StringType(), True, {"index": "few"}),
+        StructField("body", StringType(), True, {"index": "text"}),
+        *(StructField(n, MapType(StringType(), StringType())) for n in ("resource", "attributes")),
+    ]
+)
+
+
+def plan_of(schema: StructType, rows: int = 100_000, time_col: str = "timestamp") -> Plan:
+    """The plan that a schema's fields ask for in their metadata: {"index": "range"}, "keyword" for values in a Bloom filter, "few" for a bitmap of each value, "text"."""
+    asked = lambda kind: tuple(f.name for f in schema if f.metadata.get("index") == kind)
+    return Plan(zones=asked("range"), blooms=asked("keyword"), bitmaps=asked("few"), texts=asked("text"), rows=rows, time_col=time_col)
+
+
 def _append(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 
@@ -70,10 +89,14 @@ def _read(spark: SparkSession, root: str, signal: str, paths: list[str]) -> Data
     return spark.read.option("basePath", f"{root}/{signal}").parquet(*map(unquote, paths))
 
 
+def _listed(spark: SparkSession, root: str, signal: str) -> DataFrame:
+    """(file,): a signal's files. The driver lists them anyway when it reads a table."""
+    return spark.createDataFrame([(p,) for p in spark.read.parquet(f"{root}/{signal}").inputFiles()], "file string").select(_path("file").alias("file"))
+
+
 def new_paths(spark: SparkSession, root: str, signal: str) -> list[str]:
-    """A signal's files that the catalog doesn't have. The driver lists files anyway when it reads a table."""
-    every = spark.createDataFrame([(p,) for p in spark.read.parquet(f"{root}/{signal}").inputFiles()], "file string").select(_path("file").alias("file"))
-    known = files(spark, root)
+    """A signal's files that the catalog doesn't have."""
+    every, known = _listed(spark, root, signal), files(spark, root)
     left = every if known is None else every.join(known.select("file"), "file", "left_anti")
     return sorted(r["file"] for r in left.collect())
 
@@ -203,7 +226,7 @@ def paths_for(spark: SparkSession, root: str, signal: str, condition: Filter, te
     unknown = new_paths(spark, root, signal)
     if known is None:
         return unknown
-    own = known.where(F.col("signal") == signal)
+    own = known.where(F.col("signal") == signal).join(_listed(spark, root, signal), "file", "left_semi")  # replaced files are gone
     own = own if tenant is None else own.where(F.col("tenant") == tenant)
     if since is not None or until is not None:
         own = own.where(overlaps("min_ts", "max_ts", since or datetime.min.replace(year=1900), until or datetime.max.replace(year=9000)))

@@ -11,6 +11,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from spanlake.functions.attributes import last_of_each
 from spanlake.functions.names import index_name, payload_type, topic_part
+from spanlake.operators import index_store, otlp, validation
+from spanlake.sources import storage
 
 
 def json_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -124,3 +126,31 @@ def once_per_batch(root: str, time_col: str) -> Callable[[DataFrame, int], None]
         batch.withColumn("date", F.to_date(time_col)).write.mode("overwrite").partitionBy("date").parquet(f"{root}/batch={number}")
 
     return write
+
+
+def indexed_once_per_batch(root: str, signal: str, time_col: str, plan: index_store.Plan, tenant_col: str = "client_name") -> Callable[[DataFrame, int], None]:
+    """A sink: each micro-batch becomes files of its signal's table, by tenant and day, and their indexes; a batch that comes again replaces its own files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{root}/{signal}/batch={number}"
+        storage.write(batch, f"{root}/{signal}", f"batch={number}", time_col, tenant_col, mode="overwrite")
+        if storage.exists(spark, folder):
+            index_store.build(spark, root, signal, plan)
+
+    return write
+
+
+def ingest_once_per_batch(root: str, payload_col: str = "payload", rules: dict[str, list] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink for OTLP messages: each micro-batch's spans, logs and metric points are validated and written as root/<signal>/batch=, the rows that break rules as
+    root/_quarantine/<signal>/batch= with their errors. rules: by signal, in place of the usual ones. A batch that comes again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        asked = rules or {}
+        spans, logs, points = otlp.spans(batch, payload_col), otlp.logs(batch, payload_col), otlp.metric_points(batch, payload_col)
+        for signal, rows, usual in (("traces", spans, validation.span_rules), ("logs", validation.prepare_logs(logs), validation.log_rules), ("metrics", points, list)):
+            good, bad = validation.split(validation.validate(rows, asked[signal] if signal in asked else usual()))
+            good.write.mode("overwrite").parquet(f"{root}/{signal}/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{root}/_quarantine/{signal}/batch={number}")
+
+    return write

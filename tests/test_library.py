@@ -428,6 +428,42 @@ def test_streaming(spark, tmp_path):
     assert pipelines.sessions(events, "ts", "15 minutes", ["k"]).count() == 2
 
 
+def test_indexed_stream(spark, tmp_path):
+    """Micro-batches are written and indexed as they come; one that comes again leaves its rows once."""
+    root, source = str(tmp_path / "lake"), str(tmp_path / "in")
+    schema = "client_name string, timestamp timestamp, service_name string, severity_text string, body string, trace_id string, span_id string"
+    rows = lambda k: spark.createDataFrame([("c", datetime(2024, 1, 1, i), f"s{k}", "INFO", f"word{i}", f"t{k}{i}", "s") for i in range(5)], schema)
+    for k in range(2):
+        rows(k).coalesce(1).write.mode("append").parquet(source)
+    plan = index_store.plan_of(index_store.LOG_INDEX, rows=100)
+    assert plan.blooms == ("trace_id", "span_id", "service_name") and plan.texts == ("body",) and plan.zones == ("timestamp",)
+    sink = pipelines.indexed_once_per_batch(root, "logs", "timestamp", plan)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    pipelines.start(stream, sink, str(tmp_path / "checkpoint")).awaitTermination()
+    found = lambda: [r["body"] for r in index_store.read(spark, root, "logs", Equals("trace_id", "t13")).collect()]
+    assert found() == ["word3"] and len(index_store.paths_for(spark, root, "logs", Equals("trace_id", "t13"))) == 1
+    sink(rows(1), 1)
+    sink(rows(1).limit(0), 7)
+    assert found() == ["word3"] and spark.read.parquet(f"{root}/logs").count() == 10
+
+
+def test_ingest(spark, tmp_path):
+    log = {"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": "1700000000000000000", "severityText": s} for s in ("warning", "odd")]}]}]}
+    batch, root = messages(spark, trace(), trace(spanId="no"), log), str(tmp_path / "lake")
+    for _ in range(2):
+        pipelines.ingest_once_per_batch(root)(batch, 3)
+    count = lambda path: spark.read.parquet(f"{root}/{path}").count()
+    assert [count(p) for p in ("traces", "logs", "metrics", "_quarantine/traces", "_quarantine/logs")] == [1, 1, 0, 1, 1]
+    assert spark.read.parquet(f"{root}/_quarantine/logs").first()["errors"] == ["log: unknown severity"]
+
+
+def test_catalog_states(spark, tmp_path):
+    path = str(tmp_path / "partitions")
+    catalog.record(spark.createDataFrame([(1, "pending"), (2, "pending")], "id int, status string"), path)
+    catalog.record(spark.createDataFrame([(1, "stored")], "id int, status string"), path)
+    assert sorted(map(tuple, catalog.current(spark, path, ["id"]).collect())) == [(1, "stored"), (2, "pending")]
+
+
 def test_batches(spark):
     df = spark.createDataFrame([("a", i, "t", "x" * 10) for i in range(5)] + [("b", 9, "t", "y")], "client string, offset long, topic string, payload string")
     records = pipelines.batch_records(pipelines.tenant_batches(df, "client", 2, 1_000), "client")
