@@ -20,6 +20,8 @@ from spanlake.llm.frames import column, cut, words
 GROUP_ROWS = 10_000
 MAX_SHARDS = 1 << 16
 STRETCH = 1024
+#: Slots that a task deals out.
+TASK_SLOTS = 1 << 18
 #: Stands for a null id where ids are compared.
 NO_ID = -(1 << 63)
 ROUNDS = 8
@@ -98,16 +100,17 @@ class Mixture:
         n_slots = max(1, round(total))
         per_shard = max(shard_slots, math.ceil(n_slots / MAX_SHARDS))
         shards = math.ceil(n_slots / per_shard)
-        # a few rows stand for all slots: they are dealt out in stretches before each slot gets its row
+        # a few rows stand for all slots: they are dealt out in stretches before each slot gets its row, over a number of tasks that goes by the slots
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_slots / TASK_SLOTS))
         drawn = drawn.withColumn("slots", F.least(F.round("slots").cast("long"), F.col("blocks") * most)).where("slots > 0")
-        balls = drawn.withColumn("since", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(STRETCH).cast("long")))).repartition("rank", "since")
+        balls = drawn.withColumn("since", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(STRETCH).cast("long")))).repartition(tasks, "rank", "since")
         balls = balls.select("rank", "blocks", F.explode(F.sequence("since", F.least("slots", F.col("since") + STRETCH) - 1)).alias("ball"))
         counts = balls.groupBy("rank", "blocks", F.pmod(F.xxhash64("rank", "ball", F.lit(seed + 2)), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
         counts = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         #: How many slots of each shard each source gets, and how many it has in the shards before.
         self.counts = counts.select("shard", "rank", "n", "first", "blocks")
         stretch = self.counts.withColumn("since", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
-        stretch = stretch.repartition("shard", "rank", "since")
+        stretch = stretch.repartition(tasks, "shard", "rank", "since")
         upto = F.least(F.col("n"), F.col("since") + STRETCH) - 1
         each = stretch.select("*", F.explode(F.sequence("since", upto)).alias("k"))
         each = each.withColumn("j", F.col("first") + F.col("k"))
