@@ -514,7 +514,9 @@ def test_embeddings(spark):
     base = rng.normal(size=(40, 16))
     rows = [(int(i), (base[i % 40] + rng.normal(size=16) * rng.choice([0, 0.02, 0.08])).tolist()) for i in range(300)]
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [float("inf")] * 16), (904, [None] + [1.0] * 15), (905, []), (906, rows[0][1][:8]), (None, rows[0][1]), (5, rows[5][1]), (907, [x * 1e30 for x in rows[0][1]]), (908, [x * 1e-30 for x in rows[0][1]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("clash"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("cell", "row", "digest", "codes", "scale", "error", "weight", "part", "home", "own", "n", "a", "b"):
+        df = df.withColumn(name, F.lit("clash"))
     one = {}
     for i, v in rows:
         if i is not None:
